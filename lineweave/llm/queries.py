@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import bpe, quality, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": lambda spark, d: bpe.digest(table(spark, d, "documents")),
+    "op3_secret_scan": lambda spark, d: secrets.digest(table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality.digest(table(spark, d, "documents")),
 }
 
