@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, secrets, topk
+from . import bpe, chat, mixing, quality, secrets, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": lambda spark, d: bpe.digest(table(spark, d, "documents")),
     "op3_secret_scan": lambda spark, d: secrets.digest(table(spark, d, "documents")),
+    "op4_chat_format": lambda spark, d: chat.digest(table(spark, d, "conversations")),
     "op5_exact_topk": lambda spark, d: topk.digest(table(spark, d, "embeddings")),
     "op6_source_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality.digest(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
+    "op4_chat_format": chat.SQL,
     "op5_exact_topk": topk.SQL,
     "op9_quality_rules": quality.SQL,
 }
