@@ -109,8 +109,8 @@ def _escape_role(c: Column) -> Column:
 
 
 def _unescape_role(c: Column) -> Column:
-    marked = F.replace(F.replace(c, F.lit("\\\\"), F.lit("\x00\x01")), F.lit("\\n"), F.lit("\n"))
-    return _unescape(F.replace(marked, F.lit("\x00\x01"), F.lit("\\")))
+    halves = F.transform(F.split(c, r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
+    return _unescape(F.array_join(halves, "\\"))
 
 
 def render(turns: Column) -> Column:
