@@ -9,15 +9,16 @@ documents link when their sets' Jaccard similarity is at least THRESHOLD percent
    document whose first ones all stand in it alone links with nothing; the others
    keep their shared shingles and enter their rarest ones in inverted lists.
    Documents of one set are one class from here on.
-3. In each list the least document is the query and the rest are its candidates.
-   All candidates of a query are answered together by T-occurrence search
-   (DivideSkip): the query's lists over these candidates are cut into the
-   longest, which are probed by binary search, and the rest, which are merged;
-   documents that reach the overlap their sizes require are links.
-4. Links make components. Lists that still hold documents of two components are
-   searched pair by pair across components, in blocks, so that no link is lost.
+3. Documents that share a list, directly or through others, are a family; no
+   link leaves one. A family's documents are searched against each other by
+   T-occurrence search (DivideSkip): of a query's inverted lists the longest are
+   probed by binary search and the rest merged, and the documents that reach the
+   overlap that their sizes require are links.
+4. A family of more than BLOCK documents is first searched from the least
+   document of each list; the links make components, and then only blocks of
+   different components meet, pair by pair, each pair of blocks in a task.
 
-A query with many candidates is dealt over several tasks by the candidates' hash.
+Links make components. Nothing here holds a whole family or all pairs of one.
 
 Defined results: fewer than five words make one shingle, the whole sequence; no
 words, or a null text, make the empty set, which links with nothing; equal
@@ -40,8 +41,8 @@ from . import textscan as ts
 from .common import written
 
 WORDS, THRESHOLD = 5, 75
-#: Candidates of one query that a task takes at once, and documents of a list in a block.
-SALT, BLOCK = 256, 256
+#: Documents of a block, and candidates of one query that a task takes at once.
+BLOCK = 256
 
 
 def doc_sets(s: ts.Scan, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -100,37 +101,72 @@ def shared_sets(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     return lookup.answers(docs, lambda s: doc_sets(s, words)[1], respond, np.uint8, finish, _SETS, lower=True)
 
 
-def occurrences(query: np.ndarray, sets: list[np.ndarray], need: np.ndarray) -> np.ndarray:
-    """Which sets share at least need[i] with the query: T-occurrence search by DivideSkip."""
-    at = [np.searchsorted(query, s) for s in sets]
-    hit = [np.flatnonzero(query[np.minimum(a, len(query) - 1)] == s) for a, s in zip(at, sets, strict=True)]
-    which = np.repeat(np.arange(len(sets)), [len(x) for x in hit])
-    token = np.concatenate([a[x] for a, x in zip(at, hit, strict=True)]) if sets else np.zeros(0, np.int64)
-    order = np.lexsort((which, token))
-    which, token = which[order], token[order]
-    bounds = np.searchsorted(token, np.arange(len(query) + 1))
-    length = np.diff(bounds)
-    least = int(need.min())
-    by_length = np.argsort(length, kind="stable")
-    # so many long lists that a set must still be in one of the short ones
-    n_long = int(min(max(0, least - 1), least / (0.01 * np.log2(max(2, length.max(initial=1))) + 1))) if len(sets) > 32 else 0
-    long_, short = by_length[len(query) - n_long :], by_length[: len(query) - n_long]
-    flags = np.zeros(len(query), bool)
-    flags[short] = True
-    count = np.bincount(which[flags[token]], minlength=len(sets))
-    open_ = np.flatnonzero(count >= need - n_long)
-    for t in long_.tolist():
-        posting = which[bounds[t] : bounds[t + 1]]
-        if len(posting):
+class Lists:
+    """Inverted lists over some sets of shingles, for T-occurrence searches."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, self.which = flat[order], which[order]  # each list in order of the sets
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.token, self.n = flat[first], len(sets)
+        self.bounds = np.concatenate([first, [len(flat)]])
+
+    def search(self, query: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """The sets i that share at least need[i] shingles with the query, by DivideSkip.
+
+        The query's lists are divided: so many of the longest are left out that a set
+        which reaches its need must still stand in one of the others often enough. Those
+        are merged; for the sets that then may still reach it the long lists are probed.
+        """
+        at = np.searchsorted(self.token, query)
+        inside = at < len(self.token)
+        at, query = at[inside], query[inside]
+        at = at[self.token[at] == query]
+        lo, hi = self.bounds[at], self.bounds[at + 1]
+        length = hi - lo
+        order = np.argsort(length, kind="stable")
+        least = int(need.min())
+        longest = int(length[order[-1]]) if len(order) else 0
+        n_long = min(max(0, least - 1), int(least / (0.01 * np.log2(max(2, longest)) + 1)), int((length > 64).sum()))
+        short = order[: len(order) - n_long]
+        sizes = length[short]
+        ends = np.cumsum(sizes)
+        places = np.repeat(lo[short] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        count = np.bincount(self.which[places], minlength=self.n)
+        open_ = np.flatnonzero(count >= np.maximum(1, need - n_long))
+        for t in order[len(order) - n_long :].tolist():
+            if not len(open_):
+                break
+            posting = self.which[lo[t] : hi[t]]
             place = np.minimum(np.searchsorted(posting, open_), len(posting) - 1)
             count[open_] += posting[place] == open_
-    return open_[count[open_] >= need[open_]]
+        return open_[count[open_] >= need[open_]]
+
+
+class Unions:
+    """Components of numbered things; equal labels are one to begin with."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = first[of].tolist()
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """pairs (a, b) of ids that link. sets: doc_id, n, shared."""
-    load = pairs.groupBy("a").agg(F.count("*").alias("load"))
-    salted = written(pairs.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / SALT)).cast("int")).select("a", "salt", "b"))
+    load = written(pairs.groupBy("a").agg(F.count("*").alias("load")))
+    salted = written(pairs.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / BLOCK)).cast("int")).select("a", "salt", "b"))
     asked = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", "salt", "n", "shared")
     given = salted.join(sets, F.col("b") == F.col("doc_id"))
     given = given.select(*[F.col(c).alias(c) for c in ("a", "salt", "b", "n", "shared")])  # new columns, apart from those of asked
@@ -138,58 +174,80 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         query, n = np.frombuffer(left.column("shared")[0].as_buffer(), np.uint64), left.column("n")[0].as_py()
         m, ids = right.column("n").to_numpy(), right.column("b").to_numpy()
-        got = occurrences(query, [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("shared")], required(n, m, threshold))
+        got = Lists([np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("shared")]).search(query, required(n, m, threshold))
         return pa.Table.from_arrays([pa.array(np.full(len(got), left.column("a")[0].as_py(), np.int64)), pa.array(ids[got])], ["a", "b"])
 
     return asked.groupBy("a", "salt").cogroup(given.groupBy("a", "salt")).applyInArrow(search, "a long, b long")
 
 
-def _across(lists: DataFrame, threshold: int) -> DataFrame:
-    """lists: key, doc, n, comp of lists that hold several components. Pairs (a, b) of fitting sizes across components."""
-    size = lists.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = lists.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    # block i meets block j, for every i <= j
-    each = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))).alias("ij")
-    placed = dealt.select("key", "doc", "n", "comp", "block", each).select("key", "ij.i", "ij.j", "doc", "n", "comp", "block")
-
+def _search_blocks(threshold: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Links that join two components of the rows of block i with those of block j."""
+        table = table.sort_by([("doc", "ascending")])
         doc, n, comp, block = (table.column(c).to_numpy() for c in ("doc", "n", "comp", "block"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shared")]
         left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
-        x, y = np.meshgrid(left, right, indexing="ij")
-        x, y = x.ravel(), y.ravel()
-        fit = (comp[x] != comp[y]) & (doc[x] < doc[y] if key[1].as_py() == key[2].as_py() else True) & (100 * np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
-        a, b = doc[x[fit]], doc[y[fit]]
+        known = Unions(comp)
+        lists = Lists([sets[k] for k in right.tolist()])
+        found: list[tuple[int, int]] = []
+        for k in left.tolist() if len(right) else ():
+            need = required(n[k], n[right], threshold)
+            for y in right[lists.search(sets[k], need)].tolist():
+                if known.join(k, y):
+                    found.append((doc[k], doc[y]))
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return placed.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return run
 
 
 def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n, class_id; links: a, b between class ids).
 
-    A class is the documents of one set, named by its least id. The links, closed
-    under reachability, are complete: every pair that links is in one component.
+    A class is the documents of one set, named by its least id. Every two classes that
+    link are in one component of the links; links within a component may be left out.
     """
     sets = written(shared_sets(docs, words, threshold))
     may = sets.filter("shared IS NOT NULL")
     classes = written(may.groupBy("a", "b", "n").agg(F.min("doc_id").alias("class_id")))
     named = sets.filter("n > 0").join(classes, ["a", "b", "n"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
     named = named.union(sets.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id")))
-    # repeated ids may stand before different sets: the class id then names the first of them
+    # where ids repeat, an id may name several sets: it is then one node with each of them
     chosen = classes.select(F.col("class_id").alias("doc_id"), "a", "b", "n")
-    heads = written(may.join(chosen, ["doc_id", "a", "b", "n"], "left_semi").select("doc_id", "n", "shared", "prefix").dropDuplicates(["doc_id"]))
-    bodies = heads.select("doc_id", "n", "shared")
-    lists = heads.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("doc"), "n")
-    size = lists.groupBy("key").agg(F.count("*").alias("m"), F.min("doc").alias("pivot")).filter("m > 1")
-    lists = written(lists.join(size, "key").select("key", "doc", "n", "pivot"))
-    pairs = lists.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    links = written(_verified(pairs, bodies, threshold))
-    comps = written(connected_components(links))
-    labelled = written(lists.join(comps, F.col("doc") == F.col("id"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp")))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    done = lists.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    rest = written(_across(labelled.join(mixed, "key", "left_semi"), threshold).join(done, ["a", "b"], "left_anti"))
-    return named, links.union(_verified(rest, bodies, threshold))
+    heads = may.join(chosen, ["doc_id", "a", "b", "n"], "left_semi").dropDuplicates(["doc_id", "a", "b", "n"])
+    lists = heads.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("doc"))
+    pivots = lists.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "pivot")
+    candidates = written(lists.join(pivots, "key").filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct())
+
+    # a family shares lists, directly or not, so every link lies within one
+    family = written(connected_components(candidates))
+    size = written(family.groupBy("component").agg(F.count("*").alias("m")))
+    family = written(family.join(size, "component").select("id", F.col("component").alias("family"), "m"))
+    bodies = written(heads.select("doc_id", "n", "shared").join(family, F.col("doc_id") == F.col("id")).select("doc_id", "n", "shared", "family", "m"))
+
+    # large families: each list's least document is searched against the list, which makes most of the components
+    large = family.filter(F.col("m") > BLOCK).select(F.col("id").alias("a"))
+    stars = written(_verified(candidates.join(large, "a", "left_semi"), bodies.filter(F.col("m") > BLOCK).select("doc_id", "n", "shared").dropDuplicates(["doc_id"]), threshold))
+    comps = written(connected_components(stars))
+    rows = bodies.join(comps, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("doc"), "n", "shared", F.coalesce("component", "doc_id").alias("comp"), "family", "m")
+
+    # small families are searched many at a time, large ones block by block, but for blocks within one component
+    groups = max(1, family.count() // (4 * BLOCK))
+    small = rows.filter(F.col("m") <= BLOCK).select((-1 - F.pmod(F.xxhash64("family"), F.lit(groups))).alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), "doc", "n", "shared", "comp", F.lit(0).alias("block"))
+    big = written(rows.filter(F.col("m") > BLOCK))
+    counts = written(big.groupBy("family", "comp").agg(F.count("*").alias("c")))
+    # a component that fills blocks has its own; the rest of a family shares blocks
+    home = F.when(F.col("c") >= BLOCK, F.col("comp"))
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.coalesce(F.when(F.col("c") >= BLOCK, F.col("c")), "m") / BLOCK))
+    own = big.join(counts, ["family", "comp"]).withColumn("home", home).withColumn("block", F.pmod(F.xxhash64("home", block), F.lit(1 << 30)).cast("int"))
+    own = written(own.select("family", "doc", "n", "shared", "comp", "home", "block"))
+    blocks = written(own.select("family", "home", "block").distinct())
+    again = blocks.select(F.col("family").alias("f"), F.col("home").alias("h"), F.col("block").alias("k"))
+    meets = blocks.join(again, F.expr("family = f AND block <= k AND NOT (home IS NOT NULL AND home <=> h)")).select("family", F.col("block").alias("i"), F.col("k").alias("j")).distinct()
+    sides = written(meets.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")))
+    dealt = own.join(sides, ["family", "block"]).select(F.col("family").alias("bucket"), "i", "j", "doc", "n", "shared", "comp", "block")
+    found = small.union(dealt).groupBy("bucket", "i", "j").applyInArrow(_search_blocks(threshold), "a long, b long")
+    return named, stars.union(written(found))
 
 
 def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
