@@ -25,6 +25,7 @@ import heapq
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -36,7 +37,9 @@ from .common import ids_and_text, session
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words whose ids a task keeps at most, and words of one long text handled at once.
-WORDS, SLICE = 200_000, 1 << 18
+WORDS, SLICE = 500_000, 1 << 20
+#: Places of a pair from which its merges are done as arrays, and words from which that pays.
+MANY, LEAST = 24, 2000
 
 
 class Tokenizer:
@@ -44,43 +47,113 @@ class Tokenizer:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"[^\p", r"[^\p"))
-        self.width = max(self.ranks.values()) + 1
+        self.width = max(self.ranks.values()) + 2  # the last stands for no token
         self.bytes = [b""] * self.width
         for b, r in self.ranks.items():
             self.bytes[r] = b
         self.digits = [str(i) for i in range(self.width)]
-        self.single = [self.ranks[bytes([i])] for i in range(256)]
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)])
         # a pair of tokens merges if its bytes are a token, whichever way that token is cut
         self.pairs = {self.ranks[b[:i]] * self.width + self.ranks[b[i:]]: r for b, r in self.ranks.items() for i in range(1, len(b)) if b[:i] in self.ranks and b[i:] in self.ranks}
+        self.pair_keys = np.array(sorted(self.pairs))
+        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()])
+        # tokens that can take part in a merge ranked before their own
+        self.unsafe = {t for k, r in self.pairs.items() for t in divmod(k, self.width) if r < t and len(self.bytes[t]) > 1}
         self.words: dict[str, tuple[int, ...]] = {}
 
     def replay(self, words: Iterable[bytes]) -> list[tuple[int, ...]]:
         """Each word's ids."""
-        pairs, width, single = self.pairs, self.width, self.single
         words = list(words)
-        ids: list[int] = []
-        bounds = [0]
-        for w in words:
-            ids += [single[b] for b in w]
-            bounds.append(len(ids))
-        n = len(ids)
-        nxt = list(range(1, n + 1))
-        prv = list(range(-1, n - 1))
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            if a < b:
-                prv[a], nxt[b - 1] = -1, n
-        rank = [-1] * (n + 1)  # of the pair that begins here
-        index: dict[int, list[int]] = {}
-        get = pairs.get
-        for p, q in enumerate(nxt):
-            if q < n:
-                r = get(ids[p] * width + ids[q], -1)
-                if r >= 0:
-                    rank[p] = r
-                    if r in index:
-                        index[r].append(p)
-                    else:
-                        index[r] = [p]
+        bounds = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+        n = int(bounds[-1])
+        ids = np.empty(n + 1, np.int64)
+        ids[:n] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        ids[n] = self.width - 1
+        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+        nxt[bounds[1:][np.diff(bounds) > 0] - 1] = n  # n: there is none
+        prv[bounds[:-1][np.diff(bounds) > 0]] = n
+        rank = np.full(n + 1, -1, np.int64)  # of the pair that begins here
+        index: dict[int, list] = {}
+        first = np.flatnonzero(nxt[:n] < n)
+        rank[first] = self._ranks(ids[first], ids[nxt[first]])
+        self._post(index, rank, first)
+        if len(words) >= LEAST:
+            self._replay_arrays(ids, nxt, prv, rank, np.repeat(np.arange(len(words)), np.diff(bounds)), index)
+        self._replay_places(ids := ids.tolist(), nxt.tolist(), prv.tolist(), rank.tolist(), {r: np.concatenate(p).tolist() for r, p in index.items()}, n)
+        kept = np.array(ids[:n])
+        alive = kept >= 0
+        cut = np.concatenate([[0], np.cumsum(alive)])[bounds].tolist()
+        flat = kept[alive].tolist()
+        return [tuple(flat[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs, -1 where there is none."""
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+
+    @staticmethod
+    def _post(index: dict[int, list], rank: np.ndarray, places: np.ndarray) -> list[int]:
+        """Enter places by the rank of their pair; the ranks that are new to the index."""
+        r = rank[places]
+        places, r = places[r >= 0], r[r >= 0]
+        order = np.argsort(r, kind="stable")
+        places, r = places[order], r[order]
+        cut = np.flatnonzero(np.diff(r)) + 1
+        new = []
+        at = [0, *cut.tolist(), len(r)]
+        for k, a, b in zip(r[at[:-1]].tolist() if len(r) else (), at, at[1:], strict=False):
+            if k in index:
+                index[k].append(places[a:b])
+            else:
+                index[k] = [places[a:b]]
+                new.append(k)
+        return new
+
+    def _replay_arrays(self, ids: np.ndarray, nxt: np.ndarray, prv: np.ndarray, rank: np.ndarray, word: np.ndarray, index: dict[int, list]) -> None:
+        """Merge in rank order, all places of a pair at once, as long as pairs have many places."""
+        n = len(ids) - 1
+        heap = list(index)
+        heapq.heapify(heap)
+        few = 0
+        while heap and few < 64:
+            r = heap[0]
+            heapq.heappop(heap)
+            places = np.unique(np.concatenate(index.pop(r)))
+            places = places[rank[places] == r]
+            if not len(places):
+                continue
+            if r in self.unsafe:  # a merge may make way for one that comes before the word's other places: only the first now
+                first = np.concatenate([[True], word[places[1:]] != word[places[:-1]]])
+                if not first.all():
+                    index[r] = [places[~first]]
+                    heapq.heappush(heap, r)
+                    places = places[first]
+            few = few + 1 if len(places) < MANY else 0
+            # in a run of overlapping pairs, the first, the third and so on
+            joined = np.zeros(len(places), bool)
+            joined[1:] = nxt[places[:-1]] == places[1:]
+            if joined.any():
+                since = np.arange(len(places))
+                since -= np.maximum.accumulate(np.where(joined, 0, since))
+                places = places[since % 2 == 0]
+            gone = nxt[places]
+            after = nxt[gone]
+            ids[places], ids[gone] = r, -1
+            rank[places], rank[gone] = -1, -1
+            nxt[places] = after
+            prv[after] = places
+            right = places[after < n]
+            rank[right] = self._ranks(ids[right], ids[nxt[right]])
+            left = prv[places]
+            left = left[left < n]
+            rank[left] = self._ranks(ids[left], ids[nxt[left]])
+            for k in self._post(index, rank, np.concatenate([right, left])):
+                heapq.heappush(heap, k)
+
+    def _replay_places(self, ids: list[int], nxt: list[int], prv: list[int], rank: list[int], index: dict[int, list[int]], n: int) -> None:
+        """Merge in rank order, place by place."""
+        width, get = self.width, self.pairs.get
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -110,7 +183,7 @@ class Tokenizer:
                             index[s] = [p]
                             heapq.heappush(heap, s)
                 before = prv[p]
-                if before >= 0:
+                if before < n:
                     s = rank[before] = get(ids[before] * width + r, -1)
                     if s >= 0:
                         again |= s <= r
@@ -127,7 +200,6 @@ class Tokenizer:
                         index[r] = rest
                         heapq.heappush(heap, r)
                     break
-        return [tuple(i for i in ids[a:b] if i >= 0) for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def learn(self, words: set[str]) -> None:
         """Give every one of these words its ids."""
@@ -169,7 +241,7 @@ def _tokenizer(path: str | None) -> Tokenizer:
     return Tokenizer(path or public_tokenizers.path(VOCABULARY))
 
 
-_RUN = 3 * SLICE  # bytes of texts in a run
+_RUN = 4 * SLICE  # bytes of texts in a run
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
