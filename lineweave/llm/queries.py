@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, jaccard, mixing, quality, secrets, topk
+from . import bpe, chat, html, jaccard, lm, mixing, quality, secrets, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_topk": lambda spark, d: topk.digest(table(spark, d, "embeddings")),
     "op6_source_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
     "op7_ngram_jaccard": lambda spark, d: jaccard.digest(table(spark, d, "documents")),
+    "op8_lm_scores": lambda spark, d: lm.digest(table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality.digest(table(spark, d, "documents")),
 }
 
@@ -24,5 +25,6 @@ ORACLES: dict[str, str] = {
     "op4_chat_format": chat.SQL,
     "op5_exact_topk": topk.SQL,
     "op7_ngram_jaccard": jaccard.SQL,
+    "op8_lm_scores": lm.SQL,
     "op9_quality_rules": quality.SQL,
 }
