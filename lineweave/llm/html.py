@@ -11,7 +11,7 @@ children's densities. The node with the highest sum is taken, and the threshold
 is the least density on its path to the body. The text is that of the article
 (or main element) around the node if there is one, else of the smallest
 container around it; where that is the body itself, of its children at or above
-the threshold.
+the threshold, and of those that are not mostly links.
 
 Subtrees that markup names as something else than the article are cut before
 anything is counted: elements that never hold it (TAGS), and those whose class,
@@ -186,7 +186,7 @@ def extract(page: str | None) -> str:
         root = next(i for i in path if t.tag[i] in CONTAINERS or t.parent[i] < 0)
         roots = [root]
         if root in (body, 0):
-            over = [x for x in t.items[root] if x.__class__ is str or density[x] >= threshold or t.tag[x] in VOID]
+            over = [x for x in t.items[root] if x.__class__ is str or density[x] >= threshold or 3 * link_chars[x] <= chars[x]]
             return _join(t, [over])
     return _join(t, [t.items[r] for r in roots])
 
