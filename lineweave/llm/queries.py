@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, jaccard, lm, mixing, quality, secrets, topk
+from . import bpe, chat, html, jaccard, lm, mixing, quality, secrets, substrings, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": lambda spark, d: bpe.digest(table(spark, d, "documents")),
     "op10_main_text": lambda spark, d: html.main_text(table(spark, d, "pages")),
+    "op2_substring_dedup": lambda spark, d: substrings.repeats(table(spark, d, "documents")),
     "op3_secret_scan": lambda spark, d: secrets.digest(table(spark, d, "documents")),
     "op4_chat_format": lambda spark, d: chat.digest(table(spark, d, "conversations")),
     "op5_exact_topk": lambda spark, d: topk.digest(table(spark, d, "embeddings")),
