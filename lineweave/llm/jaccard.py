@@ -163,7 +163,7 @@ class Unions:
         return i != j
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """pairs (a, b) of ids that link. sets: doc_id, n, shared."""
     load = written(pairs.groupBy("a").agg(F.count("*").alias("load")))
     salted = written(pairs.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / BLOCK)).cast("int")).select("a", "salt", "b"))
@@ -201,6 +201,30 @@ def _search_blocks(threshold: int):
     return run
 
 
+def family_links(rows: DataFrame, total: int, threshold: int) -> DataFrame:
+    """Links (a, b) between different components of one family.
+
+    rows: doc, n, shared, comp, family, m (the family's size); total of them. A document may be in several families.
+    """
+    # small families are searched many at a time, large ones block by block, but for blocks within one component
+    groups = max(1, total // (4 * BLOCK))
+    small = rows.filter(F.col("m") <= BLOCK).select((-1 - F.pmod(F.xxhash64("family"), F.lit(groups))).alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), "doc", "n", "shared", "comp", F.lit(0).alias("block"))
+    big = written(rows.filter(F.col("m") > BLOCK))
+    counts = written(big.groupBy("family", "comp").agg(F.count("*").alias("c")))
+    # a component that fills blocks has its own; the rest of a family shares blocks
+    home = F.when(F.col("c") >= BLOCK, F.col("comp"))
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.coalesce(F.when(F.col("c") >= BLOCK, F.col("c")), "m") / BLOCK))
+    own = big.join(counts, ["family", "comp"]).withColumn("home", home).withColumn("block", F.pmod(F.xxhash64("home", block), F.lit(1 << 30)).cast("int"))
+    own = written(own.select("family", "doc", "n", "shared", "comp", "home", "block"))
+    blocks = written(own.select("family", "home", "block").distinct())
+    again = blocks.select(F.col("family").alias("f"), F.col("home").alias("h"), F.col("block").alias("k"))
+    meets = blocks.join(again, F.expr("family = f AND block <= k AND NOT (home IS NOT NULL AND home <=> h)")).select("family", F.col("block").alias("i"), F.col("k").alias("j")).distinct()
+    sides = written(meets.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")))
+    dealt = own.join(sides, ["family", "block"]).select(F.col("family").alias("bucket"), "i", "j", "doc", "n", "shared", "comp", "block")
+    found = small.union(dealt).groupBy("bucket", "i", "j").applyInArrow(_search_blocks(threshold), "a long, b long")
+    return written(found)
+
+
 def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n, class_id; links: a, b between class ids).
 
@@ -227,27 +251,11 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tup
 
     # large families: each list's least document is searched against the list, which makes most of the components
     large = family.filter(F.col("m") > BLOCK).select(F.col("id").alias("a"))
-    stars = written(_verified(candidates.join(large, "a", "left_semi"), bodies.filter(F.col("m") > BLOCK).select("doc_id", "n", "shared").dropDuplicates(["doc_id"]), threshold))
+    stars = written(verified(candidates.join(large, "a", "left_semi"), bodies.filter(F.col("m") > BLOCK).select("doc_id", "n", "shared").dropDuplicates(["doc_id"]), threshold))
     comps = written(connected_components(stars))
     rows = bodies.join(comps, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("doc"), "n", "shared", F.coalesce("component", "doc_id").alias("comp"), "family", "m")
 
-    # small families are searched many at a time, large ones block by block, but for blocks within one component
-    groups = max(1, family.count() // (4 * BLOCK))
-    small = rows.filter(F.col("m") <= BLOCK).select((-1 - F.pmod(F.xxhash64("family"), F.lit(groups))).alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), "doc", "n", "shared", "comp", F.lit(0).alias("block"))
-    big = written(rows.filter(F.col("m") > BLOCK))
-    counts = written(big.groupBy("family", "comp").agg(F.count("*").alias("c")))
-    # a component that fills blocks has its own; the rest of a family shares blocks
-    home = F.when(F.col("c") >= BLOCK, F.col("comp"))
-    block = F.pmod(F.xxhash64("doc"), F.ceil(F.coalesce(F.when(F.col("c") >= BLOCK, F.col("c")), "m") / BLOCK))
-    own = big.join(counts, ["family", "comp"]).withColumn("home", home).withColumn("block", F.pmod(F.xxhash64("home", block), F.lit(1 << 30)).cast("int"))
-    own = written(own.select("family", "doc", "n", "shared", "comp", "home", "block"))
-    blocks = written(own.select("family", "home", "block").distinct())
-    again = blocks.select(F.col("family").alias("f"), F.col("home").alias("h"), F.col("block").alias("k"))
-    meets = blocks.join(again, F.expr("family = f AND block <= k AND NOT (home IS NOT NULL AND home <=> h)")).select("family", F.col("block").alias("i"), F.col("k").alias("j")).distinct()
-    sides = written(meets.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")))
-    dealt = own.join(sides, ["family", "block"]).select(F.col("family").alias("bucket"), "i", "j", "doc", "n", "shared", "comp", "block")
-    found = small.union(dealt).groupBy("bucket", "i", "j").applyInArrow(_search_blocks(threshold), "a long, b long")
-    return named, stars.union(written(found))
+    return named, stars.union(family_links(rows, family.count(), threshold))
 
 
 def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:

@@ -4,8 +4,9 @@ A text is cut into lines, and a long line at points that its own words choose,
 so a passage is cut alike wherever it stands. These paragraphs have sets of
 five-word shingles; eight bands of two MinHash values make pairs of 0.75
 collide with probability 0.998. Equal paragraphs are one to begin with; in each
-band the least paragraph meets the others, the exact Jaccard similarity decides,
-and components of what links are removed but for their first occurrence.
+band's bucket the least paragraph meets the others, then buckets that still hold
+several components are searched whole, in blocks. The exact Jaccard similarity
+decides, and components of what links are removed but for their first occurrence.
 
 Defined results: a null text has no paragraphs; paragraphs of fewer than LEAST
 words are left alone; spans are byte offsets, end exclusive; a row is returned
@@ -24,19 +25,19 @@ from pyspark.sql import functions as F
 from ..graph import connected_components
 from . import textscan as ts
 from .common import ids_and_text, session, written
+from .jaccard import family_links, verified
 
 WORDS, LEAST, BANDS, ROWS, THRESHOLD, CUT = 5, 8, 8, 2, 75, 16
 _SALTS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, BANDS * ROWS).astype(np.uint64)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, first, last (bytes), fp, bands, shingles: one row per paragraph of LEAST words or more."""
+    """doc_id, first, last (bytes), fp, n, bands, shingles: one row per paragraph of LEAST words or more."""
     session(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in ts.pieces(batches, "text"):
             s = ts.scan(b.column(1), lower=True)
-            ids = b.column(0).to_pylist()
             at, h = s.windows(WORDS)
             if not len(at):
                 continue
@@ -46,47 +47,56 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             lines = np.flatnonzero(s.data == 10)
             cut[np.searchsorted(s.start, lines)] = True
             edges = np.flatnonzero(cut)
-            rows = []
+            a, z = edges[:-1], edges[1:]
+            good = z - a >= LEAST
+            a, z = a[good], z[good]
+            if not len(a):
+                continue
             place = np.full(len(s.start) + 1, -1)
             place[at] = np.arange(len(at))
-            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if z - a >= LEAST:
-                    k = place[a]
-                    x = np.unique(h[k : k + z - a - WORDS + 1])
-                    low = np.array([ts.mix(x ^ v).min() for v in _SALTS], np.uint64).reshape(BANDS, ROWS)
-                    bands = ts.mix(low[:, 0] * np.uint64(3) + low[:, 1] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                    d = int(s.doc[a])
-                    rows.append((ids[d], int(s.start[a] - s.off[d]), int(s.end[z - 1] - s.off[d]), int(ts.mix(np.array([ts.mix(x).sum()], np.uint64)).view(np.int64)[0]), bands.tolist(), x.tobytes()))
-            if rows:
-                c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in c[:4]), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.binary())], ["doc_id", "first", "last", "fp", "bands", "shingles"])
+            size = z - a - WORDS + 1
+            which = np.repeat(np.arange(len(a)), size)
+            ends = np.cumsum(size)
+            x = h[np.repeat(place[a] - (ends - size), size) + np.arange(ends[-1])]
+            order = np.lexsort((x, which))
+            x, which = x[order], which[order]
+            new = np.concatenate([[True], (x[1:] != x[:-1]) | (which[1:] != which[:-1])])
+            x, which = x[new], which[new]
+            begin = np.searchsorted(which, np.arange(len(a)))
+            low = [np.minimum.reduceat(ts.mix(x ^ v), begin) for v in _SALTS]
+            bands = np.stack([ts.mix(low[ROWS * k] * np.uint64(3) + low[ROWS * k + 1] + np.uint64(k)) for k in range(BANDS)], axis=1)
+            fp = ts.mix(np.add.reduceat(ts.mix(x), begin))
+            bounds = np.concatenate([begin, [len(x)]]) * 8
+            d = s.doc[a]
+            cols = [b.column(0).take(pa.array(d)), pa.array(s.start[a] - s.off[d]), pa.array(s.end[z - 1] - s.off[d]), pa.array(fp.view(np.int64)), pa.array(np.diff(bounds) // 8)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(a) + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
+            sets = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([*cols, lists, sets], ["doc_id", "first", "last", "fp", "n", "bands", "shingles"])
 
-    return ids_and_text(docs).mapInArrow(run, "doc_id long, first long, last long, fp long, bands array<bigint>, shingles binary")
+    return ids_and_text(docs).mapInArrow(run, "doc_id long, first long, last long, fp long, n long, bands array<bigint>, shingles binary")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, first, last, component_id, removed: every paragraph that repeats."""
     found = written(paragraphs(docs))
-    kinds = written(found.groupBy("fp").agg(F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles")))
+    kinds = written(found.groupBy("fp").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("shingles").alias("shared")))
+    sets = kinds.select(F.col("fp").alias("doc_id"), "n", "shared")
     banded = kinds.select("fp", F.posexplode("bands").alias("band", "key"))
     pivots = written(banded.groupBy("band", "key").agg(F.min("fp").alias("pivot"), F.count("*").alias("m")).filter("m > 1"))
-    pairs = written(banded.join(pivots, ["band", "key"]).filter("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct())
-    sets = kinds.select("fp", "shingles")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            good = []
-            for x, y in zip(t.column(2), t.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * o >= THRESHOLD * (len(x) + len(y) - o))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+    members = written(banded.join(pivots, ["band", "key"]).select(F.xxhash64("band", "key").alias("family"), "fp", "pivot", "m"))
+    pairs = written(members.filter("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct())
+    stars = written(verified(pairs, sets, THRESHOLD))
 
-    links = written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    # buckets whose paragraphs are not yet all in one component are searched whole
+    comps = written(connected_components(stars))
+    now = written(members.filter("m > 2").join(comps, F.col("fp") == F.col("id"), "left").select("family", F.col("fp").alias("doc"), F.coalesce("component", "fp").alias("comp"), "m"))
+    open_ = written(now.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("family"))
+    rows = written(now.join(open_, "family"))
+    bodies = rows.join(sets, F.col("doc") == F.col("doc_id")).select("doc", "n", "shared", "comp", "family", "m")
+    links = stars.union(family_links(bodies, rows.count(), THRESHOLD))
     comps = written(connected_components(links))
-    named = kinds.select("fp", "n").join(comps, F.col("fp") == F.col("id"), "left").select("fp", "n", F.coalesce("component", "fp").alias("component_id"))
-    sizes = named.groupBy("component_id").agg(F.sum("n").alias("size")).filter("size > 1")
+    named = kinds.select("fp", "copies").join(comps, F.col("fp") == F.col("id"), "left").select("fp", "copies", F.coalesce("component", "fp").alias("component_id"))
+    sizes = named.groupBy("component_id").agg(F.sum("copies").alias("size")).filter("size > 1")
     kept = written(named.join(sizes, "component_id").select("fp", "component_id", "size"))
     rows = found.select("doc_id", "first", "last", "fp").join(kept, "fp")
     head = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "first")).alias("head"))
