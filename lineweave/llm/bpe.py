@@ -11,7 +11,7 @@ the vocabulary is taken whole.
 
 A run is a slice of one task's texts and words keep their ids from run to run,
 so no text is shuffled and nothing grows with the corpus: the store of words is
-emptied when it reaches WORDS entries and words are then merged anew.
+emptied after the run in which it passes WORDS entries and words are merged anew.
 
 Defined results: a null text counts as empty (no ids); one row per input row,
 also for repeated or null ids; a text of any length is encoded whole.
@@ -23,6 +23,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -36,12 +37,20 @@ from . import textscan as ts
 from .common import ids_and_text, session
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Words whose ids a task keeps at most, and words of one long text handled at once.
+#: Words from which a worker's store of ids is emptied, and words of one long text handled at once.
 WORDS, SLICE = 500_000, 1 << 20
 #: Places of a pair from which its merges are done as arrays, and words from which that pays.
 MANY, LEAST = 24, 2000
 
 
+class _Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Tokenizer:
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         with open(path, "rb") as f:
@@ -59,11 +68,15 @@ class Tokenizer:
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()])
         # tokens that can take part in a merge ranked before their own
         self.unsafe = {t for k, r in self.pairs.items() for t in divmod(k, self.width) if r < t and len(self.bytes[t]) > 1}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the store: each word's number, and by number the bounds of its ids."""
+        self.words = _Numbers()
+        self.flat, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def replay(self, words: Iterable[bytes]) -> list[tuple[int, ...]]:
-        """Each word's ids."""
-        words = list(words)
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one word after the other, and how many each has."""
         bounds = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
         n = int(bounds[-1])
         ids = np.empty(n + 1, np.int64)
@@ -82,9 +95,8 @@ class Tokenizer:
         self._replay_places(ids := ids.tolist(), nxt.tolist(), prv.tolist(), rank.tolist(), {r: np.concatenate(p).tolist() for r, p in index.items()}, n)
         kept = np.array(ids[:n])
         alive = kept >= 0
-        cut = np.concatenate([[0], np.cumsum(alive)])[bounds].tolist()
-        flat = kept[alive].tolist()
-        return [tuple(flat[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        cut = np.concatenate([[0], np.cumsum(alive)])[bounds]
+        return kept[alive], np.diff(cut)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks of pairs, -1 where there is none."""
@@ -201,28 +213,48 @@ class Tokenizer:
                         heapq.heappush(heap, r)
                     break
 
-    def learn(self, words: set[str]) -> None:
-        """Give every one of these words its ids."""
-        new = words - self.words.keys()
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-            new = words
-        todo = []
-        for w in new:
+    def _learn(self, words: list[str]) -> None:
+        """Enter the ids of words that have just been numbered."""
+        sizes = np.ones(len(words), np.int64)
+        todo, ids = [], np.empty(len(words), np.int64)
+        for k, w in enumerate(words):
             b = w.encode()
             if (whole := self.ranks.get(b)) is not None:
-                self.words[w] = (whole,)
+                ids[k] = whole
             else:
-                todo.append((w, b))
-        self.words.update(zip((w for w, _ in todo), self.replay(b for _, b in todo), strict=True))
+                todo.append((k, b))
+        flat, n = self.replay([b for _, b in todo])
+        at = np.array([k for k, _ in todo], np.int64)
+        sizes[at] = n
+        ends = np.cumsum(sizes)
+        out = np.repeat(ids, sizes)
+        lo = ends[at] - n
+        out[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(flat))] = flat
+        self.flat = np.concatenate([self.flat, out.astype(np.int32)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + ends])
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, and after each word how many there are so far, from 0."""
+        if len(self.words) > WORDS:
+            self._forget()
+        known = len(self.words)
+        w = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if len(self.words) > known:
+            self._learn(list(islice(self.words, known, None)))
+        lo = self.bounds[w]
+        size = self.bounds[w + 1] - lo
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])], ends
 
     def encode(self, texts: list[str]) -> Iterator[Iterator[list[int]]]:
         """For each text its ids, in slices; read them in order."""
         if sum(map(len, texts)) <= 4 * SLICE:
             cut = [self.cut.findall(t) for t in texts]
-            self.learn(set(chain.from_iterable(cut)))
-            for words in cut:
-                yield iter((list(chain.from_iterable(map(self.words.__getitem__, words))),))
+            words = list(chain.from_iterable(cut))
+            ids, ends = self.ids(words)
+            at = ends[np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])].tolist()
+            for a, b in zip(at, at[1:], strict=False):
+                yield iter((ids[a:b].tolist(),))
         else:
             for t in texts:
                 yield self._long(t)
@@ -230,14 +262,15 @@ class Tokenizer:
     def _long(self, text: str) -> Iterator[list[int]]:
         found = (m[0] for m in self.cut.finditer(text))
         while words := list(islice(found, SLICE)):
-            self.learn(set(words))
-            yield list(chain.from_iterable(map(self.words.__getitem__, words)))
+            yield self.ids(words)[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
 def _tokenizer(path: str | None) -> Tokenizer:
+    """A worker's tokenizer, kept with its words from task to task."""
     return Tokenizer(path or public_tokenizers.path(VOCABULARY))
 
 
