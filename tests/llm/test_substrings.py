@@ -1,3 +1,8 @@
+import itertools
+import random
+
+import numpy as np
+
 from lineweave.llm import substrings
 
 
@@ -8,3 +13,35 @@ def test_passages_that_repeat_are_found_wherever_they_stand(spark):
     rows = substrings.repeats(docs).collect()
     assert {r.doc_id for r in rows} == {1, 2}
     assert {r.doc_id for r in rows if r.removed} == {2} and {r.kept_doc_id for r in rows} == {1}
+
+
+def test_links_are_those_of_brute_force_among_colliding_paragraphs(spark):
+    rng = random.Random(5)
+    rows = []
+    for base in range(12):
+        words = [f"b{base}x{i}" for i in range(40)]
+        for k in range(6):
+            mine = [w if rng.random() > 0.02 else f"{w}k{k}" for w in words]
+            rows.append((len(rows), "\n".join(" ".join(mine[i : i + 20]) for i in (0, 20))))
+    docs = spark.createDataFrame([*rows, (900, None)], "doc_id long, text string")
+    found = substrings.paragraphs(docs).collect()
+    sets = {r.fp: (set(r.bands), frozenset(np.frombuffer(r.shingles, np.uint64).tolist())) for r in found}
+    up = {fp: fp for fp in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        (p, x), (q, y) = sets[a], sets[b]
+        if p & q and 4 * len(x & y) >= 3 * len(x | y):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    groups = {}
+    for r in found:
+        groups.setdefault(top(r.fp), set()).add((r.doc_id, r.first))
+    got = {}
+    for r in substrings.repeats(docs).collect():
+        got.setdefault(r.component_id, set()).add((r.doc_id, r.first))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
