@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import session, written
 
 #: Slices of each (source, size class); a slice is what one task orders.
 SLICES = 256
@@ -60,11 +60,12 @@ def _offset(seed: int):
 def copies(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), seed: int = 1) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: one row per document."""
     session(docs)
-    sized = docs.select(
+    # written, as three steps follow from it and the words of a text are counted once
+    sized = written(docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
+    ))
     h = F.xxhash64("doc_id", F.lit(seed))
     # eight classes an octave
     sized = sized.select("*", F.floor(F.log2(F.col("size") + 1) * 8).cast("int").alias("class"), h.alias("h"), F.pmod(h, F.lit(SLICES)).cast("int").alias("slice"))
