@@ -1,79 +1,137 @@
 """Removal of passages that repeat, by MinHash banding of paragraphs.
 
-A text is cut into lines, and a long line at points that its own words choose,
-so a passage is cut alike wherever it stands. These paragraphs have sets of
-five-word shingles; eight bands of two MinHash values make pairs of 0.75
-collide with probability 0.998. Equal paragraphs are one to begin with; in each
-band's bucket the least paragraph meets the others, then buckets that still hold
-several components are searched whole, in blocks. The exact Jaccard similarity
-decides, and components of what links are removed but for their first occurrence.
-
-Defined results: a null text has no paragraphs; paragraphs of fewer than LEAST
-words are left alone; spans are byte offsets, end exclusive; a row is returned
-for every occurrence in a component of two or more, repeated ids included.
+A paragraph is a line of LEAST words or more; it has a set of five-word shingles,
+and eight bands of two MinHash values make pairs of 0.75 collide with probability
+0.998. A passage that repeats inside longer lines is found by spans of SPAN words:
+they start where a five-word hash is the least among REACH neighbours, a choice
+that depends on these words alone, so each passage of SPAN + REACH - 1 words or more
+holds a whole span wherever it stands.
+
+Every band key and every span's hash is first counted in the whole corpus, packed
+by chunk (`lookup.answers`). What stands alone in all its keys can link with
+nothing and is left out; only the rest become rows. Equal paragraphs are one to
+begin with; in each band's bucket the least paragraph meets the others, then
+buckets that still hold several components are searched whole, in blocks. The
+exact Jaccard similarity decides, and components of what links are removed but
+for their first occurrence.
+
+Defined results: a null text has no paragraphs; lines of fewer than LEAST words
+are left alone; offsets are in bytes, end exclusive; spans may overlap each other
+and lines; a row is returned for every occurrence in a component of two or more,
+repeated ids included; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import connected_components
+from . import lookup
 from . import textscan as ts
-from .common import ids_and_text, session, written
+from .common import written
 from .jaccard import family_links, verified
 
-WORDS, LEAST, BANDS, ROWS, THRESHOLD, CUT = 5, 8, 8, 2, 75, 16
-_SALTS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, BANDS * ROWS).astype(np.uint64)
+WORDS, LEAST, BANDS, ROWS, THRESHOLD = 5, 8, 8, 2, 75
+SPAN, REACH = 20, 24
+_RNG = np.random.Generator(np.random.PCG64(11))
+_SALTS = _RNG.integers(1, 2**63, BANDS * ROWS).astype(np.uint64)
+_COEF = _RNG.integers(1, 2**63, SPAN).astype(np.uint64) | np.uint64(1)
+
+
+def _slide(x: np.ndarray, k: int, op: np.ufunc) -> np.ndarray:
+    """op over each k neighbours of x."""
+    have = 1
+    while 2 * have <= k:
+        x, have = op(x[:-have], x[have:]), 2 * have
+    return op(x[: len(x) - (k - have)], x[k - have :]) if have < k else x
+
+
+def _anchors(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places whose hash is the least of some REACH neighbours of one text; of a run of equal hashes the first."""
+    if len(h) < REACH:
+        return np.zeros(0, np.int64)
+    least = _slide(h, REACH, np.minimum)
+    least[doc[: len(least)] != doc[REACH - 1 :]] = 0
+    rim = np.zeros(REACH - 1, np.uint64)
+    chosen = _slide(np.concatenate([rim, least, rim]), REACH, np.maximum) == h
+    chosen[1:] &= (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return np.flatnonzero(chosen)
+
+
+class Marked:
+    """Paragraphs and spans of a scan: a, z (words), x, which (shingles and their paragraphs), bands; span (first words), span_hash."""
+
+    def __init__(self, s: ts.Scan):
+        at, h = s.windows(WORDS)
+        cut = np.zeros(len(s.start) + 1, bool)
+        cut[s.first] = True
+        cut[np.searchsorted(s.start, np.flatnonzero(s.data == 10))] = True
+        edges = np.flatnonzero(cut)
+        good = np.diff(edges) >= LEAST
+        self.a, self.z = edges[:-1][good], edges[1:][good]
+        place = np.full(len(s.start) + 1, -1)
+        place[at] = np.arange(len(at))
+        size = self.z - self.a - WORDS + 1
+        begin = np.cumsum(size) - size
+        self.which = np.repeat(np.arange(len(size)), size)
+        inside = np.arange(len(self.which)) - begin[self.which]
+        self.x = h[place[self.a][self.which] + inside]
+        low = [np.minimum.reduceat(ts.mix(self.x ^ v), begin) if len(begin) else np.zeros(0, np.uint64) for v in _SALTS]
+        self.bands = np.stack([ts.mix(low[ROWS * k] * np.uint64(3) + low[ROWS * k + 1] + np.uint64(k)) for k in range(BANDS)], axis=1)
+        self.inside, self.begin = inside, begin
+        span = at[_anchors(h, s.doc[at])]
+        span = span[span + SPAN <= len(s.start)]
+        self.span = span[s.doc[span] == s.doc[span + SPAN - 1]]
+        total = np.zeros(len(self.span), np.uint64)
+        for j in range(SPAN):
+            total += s.hash[self.span + j] * _COEF[j]
+        self.span_hash = ts.mix(total)
+
+    def keys(self) -> np.ndarray:
+        return np.concatenate([self.bands.ravel(), self.span_hash])
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, first, last (bytes), fp, n, bands, shingles: one row per paragraph of LEAST words or more."""
-    session(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in ts.pieces(batches, "text"):
-            s = ts.scan(b.column(1), lower=True)
-            at, h = s.windows(WORDS)
-            if not len(at):
-                continue
-            cut = np.zeros(len(s.start) + 1, bool)
-            cut[s.first] = True
-            cut[at[h % np.uint64(CUT) == 0]] = True
-            lines = np.flatnonzero(s.data == 10)
-            cut[np.searchsorted(s.start, lines)] = True
-            edges = np.flatnonzero(cut)
-            a, z = edges[:-1], edges[1:]
-            good = z - a >= LEAST
-            a, z = a[good], z[good]
-            if not len(a):
-                continue
-            place = np.full(len(s.start) + 1, -1)
-            place[at] = np.arange(len(at))
-            size = z - a - WORDS + 1
-            which = np.repeat(np.arange(len(a)), size)
-            ends = np.cumsum(size)
-            x = h[np.repeat(place[a] - (ends - size), size) + np.arange(ends[-1])]
-            order = np.lexsort((x, which))
-            x, which = x[order], which[order]
-            new = np.concatenate([[True], (x[1:] != x[:-1]) | (which[1:] != which[:-1])])
-            x, which = x[new], which[new]
-            begin = np.searchsorted(which, np.arange(len(a)))
-            low = [np.minimum.reduceat(ts.mix(x ^ v), begin) for v in _SALTS]
-            bands = np.stack([ts.mix(low[ROWS * k] * np.uint64(3) + low[ROWS * k + 1] + np.uint64(k)) for k in range(BANDS)], axis=1)
-            fp = ts.mix(np.add.reduceat(ts.mix(x), begin))
-            bounds = np.concatenate([begin, [len(x)]]) * 8
-            d = s.doc[a]
-            cols = [b.column(0).take(pa.array(d)), pa.array(s.start[a] - s.off[d]), pa.array(s.end[z - 1] - s.off[d]), pa.array(fp.view(np.int64)), pa.array(np.diff(bounds) // 8)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(a) + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
-            sets = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-            yield pa.RecordBatch.from_arrays([*cols, lists, sets], ["doc_id", "first", "last", "fp", "n", "bands", "shingles"])
-
-    return ids_and_text(docs).mapInArrow(run, "doc_id long, first long, last long, fp long, n long, bands array<bigint>, shingles binary")
+    """doc_id, first, last (bytes), fp, n, bands, shingles: the paragraphs and spans that share a key with another. A span has no bands and no shingles."""
+
+    def finish(rows: pa.RecordBatch, held: np.ndarray) -> pa.Table:
+        s = ts.scan(rows.column(1), lower=True)
+        m = Marked(s)
+        many = held > 1
+        lines = many[: m.bands.size].reshape(-1, BANDS).any(axis=1)
+        spans = many[m.bands.size :]
+        mine = lines[m.which]
+        which, x = (np.cumsum(lines) - 1)[m.which[mine]], m.x[mine]
+        n_lines = int(lines.sum())
+        begin = np.searchsorted(which, np.arange(n_lines))
+        fp = ts.mix(np.add.reduceat(ts.mix(x + m.inside[mine].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begin)) if n_lines else np.zeros(0, np.uint64)
+        order = np.lexsort((x, which))
+        x, which = x[order], which[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (which[1:] != which[:-1])
+        x, which = x[new], which[new]
+        n_spans = int(spans.sum())
+        bounds = np.concatenate([np.searchsorted(which, np.arange(n_lines + 1)), np.full(n_spans, len(x))])
+        a = np.concatenate([m.a[lines], m.span[spans]])
+        z = np.concatenate([m.z[lines], m.span[spans] + SPAN])
+        d = s.doc[a]
+        ends = np.minimum(np.arange(n_lines + n_spans + 1), n_lines) * BANDS
+        cols = [
+            rows.column(0).take(pa.array(d)),
+            pa.array(s.start[a] - s.off[d]),
+            pa.array(s.end[z - 1] - s.off[d]),
+            pa.array(np.concatenate([fp, m.span_hash[spans]]).view(np.int64)),
+            pa.array(np.diff(bounds)),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(m.bands[lines].view(np.int64).ravel())),
+            pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]),
+        ]
+        return pa.Table.from_arrays(cols, ["doc_id", "first", "last", "fp", "n", "bands", "shingles"])
+
+    schema = "doc_id long, first long, last long, fp long, n long, bands array<bigint>, shingles binary"
+    return lookup.answers(docs, lambda s: Marked(s).keys(), lambda total, own, shard: np.minimum(total, 2), np.uint8, finish, schema, lower=True)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
