@@ -77,7 +77,7 @@ def answers(
 ) -> DataFrame:
     """hashes(scan): a chunk's keys, repeats included.
     respond(total, own, shard): for keys of one chunk, their counts in the corpus and in the chunk -> answers of `width`.
-    finish(rows, answer per key as hashes() gave them) -> rows of the result.
+    finish(rows, answer per key as hashes() gave them) -> rows of the result; called right after hashes() of these rows.
     """
     session(docs)
     source, shards = ids_and_text(docs), shards_for(docs)

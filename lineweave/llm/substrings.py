@@ -10,10 +10,10 @@ holds a whole span wherever it stands.
 Every band key and every span's hash is first counted in the whole corpus, packed
 by chunk (`lookup.answers`). What stands alone in all its keys can link with
 nothing and is left out; only the rest become rows. Equal paragraphs are one to
-begin with; in each band's bucket the least paragraph meets the others, then
-buckets that still hold several components are searched whole, in blocks. The
-exact Jaccard similarity decides, and components of what links are removed but
-for their first occurrence.
+begin with, as are buckets of equal members. Small buckets are searched many at a
+time; in a large one the least paragraph meets the others first, and then only
+blocks of different components meet. The exact Jaccard similarity decides, and
+components of what links are removed but for their first occurrence.
 
 Defined results: a null text has no paragraphs; lines of fewer than LEAST words
 are left alone; offsets are in bytes, end exclusive; spans may overlap each other
@@ -32,12 +32,12 @@ from ..graph import connected_components
 from . import lookup
 from . import textscan as ts
 from .common import written
-from .jaccard import family_links, verified
+from .jaccard import BLOCK, family_links, verified
 
 WORDS, LEAST, BANDS, ROWS, THRESHOLD = 5, 8, 8, 2, 75
 SPAN, REACH = 20, 24
 _RNG = np.random.Generator(np.random.PCG64(11))
-_SALTS = _RNG.integers(1, 2**63, BANDS * ROWS).astype(np.uint64)
+_SALTS = _RNG.integers(1, 2**63, BANDS * ROWS).astype(np.uint64) | np.uint64(1)
 _COEF = _RNG.integers(1, 2**63, SPAN).astype(np.uint64) | np.uint64(1)
 
 
@@ -79,7 +79,7 @@ class Marked:
         self.which = np.repeat(np.arange(len(size)), size)
         inside = np.arange(len(self.which)) - begin[self.which]
         self.x = h[place[self.a][self.which] + inside]
-        low = [np.minimum.reduceat(ts.mix(self.x ^ v), begin) if len(begin) else np.zeros(0, np.uint64) for v in _SALTS]
+        low = [np.minimum.reduceat(self.x * v, begin) if len(begin) else np.zeros(0, np.uint64) for v in _SALTS]
         self.bands = np.stack([ts.mix(low[ROWS * k] * np.uint64(3) + low[ROWS * k + 1] + np.uint64(k)) for k in range(BANDS)], axis=1)
         self.inside, self.begin = inside, begin
         span = at[_anchors(h, s.doc[at])]
@@ -97,9 +97,15 @@ class Marked:
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, first, last (bytes), fp, n, bands, shingles: the paragraphs and spans that share a key with another. A span has no bands and no shingles."""
 
-    def finish(rows: pa.RecordBatch, held: np.ndarray) -> pa.Table:
-        s = ts.scan(rows.column(1), lower=True)
+    last: list[tuple[ts.Scan, Marked]] = []
+
+    def keys(s: ts.Scan) -> np.ndarray:
         m = Marked(s)
+        last[:] = [(s, m)]
+        return m.keys()
+
+    def finish(rows: pa.RecordBatch, held: np.ndarray) -> pa.Table:
+        s, m = last.pop()
         many = held > 1
         lines = many[: m.bands.size].reshape(-1, BANDS).any(axis=1)
         spans = many[m.bands.size :]
@@ -131,7 +137,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         return pa.Table.from_arrays(cols, ["doc_id", "first", "last", "fp", "n", "bands", "shingles"])
 
     schema = "doc_id long, first long, last long, fp long, n long, bands array<bigint>, shingles binary"
-    return lookup.answers(docs, lambda s: Marked(s).keys(), lambda total, own, shard: np.minimum(total, 2), np.uint8, finish, schema, lower=True)
+    return lookup.answers(docs, keys, lambda total, own, shard: np.minimum(total, 2), np.uint8, finish, schema, lower=True)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -140,18 +146,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     kinds = written(found.groupBy("fp").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("shingles").alias("shared")))
     sets = kinds.select(F.col("fp").alias("doc_id"), "n", "shared")
     banded = kinds.select("fp", F.posexplode("bands").alias("band", "key"))
-    pivots = written(banded.groupBy("band", "key").agg(F.min("fp").alias("pivot"), F.count("*").alias("m")).filter("m > 1"))
-    members = written(banded.join(pivots, ["band", "key"]).select(F.xxhash64("band", "key").alias("family"), "fp", "pivot", "m"))
-    pairs = written(members.filter("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct())
-    stars = written(verified(pairs, sets, THRESHOLD))
+    buckets = banded.groupBy("band", "key").agg(F.min("fp").alias("pivot"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("x"))
+    pivots = written(buckets.filter("m > 1"))
+    members = written(banded.join(pivots, ["band", "key"]).select(F.xxhash64("x", "m", "pivot").alias("family"), "fp", "pivot", "m").distinct())
 
-    # buckets whose paragraphs are not yet all in one component are searched whole
+    # large buckets: the least paragraph meets the others, which makes most of the components
+    pairs = written(members.filter((F.col("m") > BLOCK) & (F.col("fp") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct())
+    stars = written(verified(pairs, sets, THRESHOLD))
     comps = written(connected_components(stars))
-    now = written(members.filter("m > 2").join(comps, F.col("fp") == F.col("id"), "left").select("family", F.col("fp").alias("doc"), F.coalesce("component", "fp").alias("comp"), "m"))
-    open_ = written(now.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("family"))
-    rows = written(now.join(open_, "family"))
-    bodies = rows.join(sets, F.col("doc") == F.col("doc_id")).select("doc", "n", "shared", "comp", "family", "m")
-    links = stars.union(family_links(bodies, rows.count(), THRESHOLD))
+    now = members.join(comps, F.col("fp") == F.col("id"), "left").select(F.col("fp").alias("doc"), F.coalesce("component", "fp").alias("comp"), "family", "m")
+    bodies = written(now.join(sets, F.col("doc") == F.col("doc_id")).select("doc", "n", "shared", "comp", "family", "m"))
+    links = stars.union(family_links(bodies, members.count(), THRESHOLD))
     comps = written(connected_components(links))
     named = kinds.select("fp", "copies").join(comps, F.col("fp") == F.col("id"), "left").select("fp", "copies", F.coalesce("component", "fp").alias("component_id"))
     sizes = named.groupBy("component_id").agg(F.sum("copies").alias("size")).filter("size > 1")
