@@ -45,3 +45,25 @@ def test_links_are_those_of_brute_force_among_colliding_paragraphs(spark):
     for r in substrings.repeats(docs).collect():
         got.setdefault(r.component_id, set()).add((r.doc_id, r.first))
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_a_passage_of_span_and_reach_words_holds_a_common_span():
+    import pyarrow as pa
+
+    from lineweave.llm import textscan as ts
+
+    rng = random.Random(8)
+    least = substrings.SPAN + substrings.REACH - 1
+    for k in range(200):
+        passage = " ".join(f"p{k}q{i}" for i in range(least))
+        around = lambda side: " ".join(f"{side}{k}w{rng.random()}" for _ in range(rng.randrange(60)))
+        texts = [f"{around('a')} {passage} {around('b')}", f"{around('c')} {passage} {around('d')}"]
+        s = ts.scan(pa.array(texts), lower=True)
+        m = substrings.Marked(s)
+        of = [set(m.span_hash[s.doc[m.span] == d].tolist()) for d in (0, 1)]
+        assert of[0] & of[1]
+
+
+def test_empty_and_null_texts(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert substrings.repeats(none).count() == 0
