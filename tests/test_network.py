@@ -1,3 +1,6 @@
+import math
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +38,37 @@ def test_components_of_a_path_and_a_hub(spark):
     assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(100, 140), 100)}
 
 
+def _brute_components(rows, precision):
+    """fid -> least fid in reach, by union-find over end cells."""
+    up, at = {r.fid: r.fid for r in rows}, {}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for r in rows:
+        for p in (r.pts[0], r.pts[-1]):
+            cell = (math.floor(p["x"] / precision), math.floor(p["y"] / precision))
+            a, b = top(r.fid), top(at.setdefault(cell, r.fid))
+            up[max(a, b)] = min(a, b)
+    return {i: top(i) for i in up}
+
+
+def test_line_components_equal_brute_force(spark):
+    rng = random.Random(4)
+    d = _lines(spark, *[[(rng.randrange(12) * 5 + 1, rng.randrange(12) * 5 + 1) for _ in range(2)] for _ in range(60)])
+    want = _brute_components(d.collect(), 5.0)
+    assert len(set(want.values())) > 5
+    assert {r.fid: r.component for r in net.components(d, 5.0).collect()} == want
+
+
+def test_component_labels_cover_the_whole_network(spark):
+    want = _brute_components(demo.lines(spark, SF).collect(), demo.P)
+    rows = demo.QUERIES["component_labels"](spark, SF).collect()
+    assert len(rows) == len(want) and {r.fid: r.component for r in rows} == want
+
+
 def test_attributes_are_quoted_and_ordered(spark):
     d = spark.createDataFrame([(0, 1, "First, Second Street"), (1, 1, "Third Avenue"), (2, 1, None), (3, 1, "Third Avenue"), (4, 2, None)], "fid long, k int, name string")
     assert {r.k: r.name for r in net.merge_attribute(d, "k", "name").collect()} == {1: '"First, Second Street",Third Avenue', 2: None}
