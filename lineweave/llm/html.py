@@ -10,8 +10,9 @@ with zeros counted as one. The density sum of a node is the sum of its
 children's densities. The node with the highest sum is taken, and the threshold
 is the least density on its path to the body. The text is that of the article
 (or main element) around the node if there is one, else of the smallest
-container around it; where that is the body itself, of its children at or above
-the threshold, and of those that are not mostly links.
+container around it and of everything beside its path to the body that is at or
+above the threshold or not mostly links, so that an article of several sections
+stays whole.
 
 Subtrees that markup names as something else than the article are cut before
 anything is counted: elements that never hold it (TAGS), and those whose class,
@@ -183,11 +184,13 @@ def extract(page: str | None) -> str:
     if named:
         roots = [named[-1]]
     else:
-        root = next(i for i in path if t.tag[i] in CONTAINERS or t.parent[i] < 0)
-        roots = [root]
-        if root in (body, 0):
-            over = [x for x in t.items[root] if x.__class__ is str or density[x] >= threshold or 3 * link_chars[x] <= chars[x]]
-            return _join(t, [over])
+        at = next(k for k, i in enumerate(path) if t.tag[i] in CONTAINERS or t.parent[i] < 0)
+        on = set(path)
+        for i in path[at + 1 :] if at + 1 < len(path) else path[at:]:
+            for x in t.items[i]:
+                if x.__class__ is not str and x not in on and density[x] < threshold and 3 * link_chars[x] > chars[x]:
+                    t.cut[x] = True
+        roots = [path[-1]]
     return _join(t, [t.items[r] for r in roots])
 
 

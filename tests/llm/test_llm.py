@@ -116,6 +116,15 @@ def test_html(page, want):
     assert html.extract(page) == want
 
 
+def test_html_keeps_every_section_without_article():
+    section = lambda name, n, size: "".join(f"<p>{name}{k} {'x' * size}</p>" for k in range(n))
+    links = "<ul>" + "".join(f'<li><a href="/{k}">elsewhere {k}</a></li>' for k in range(20)) + "</ul>"
+    words = [f"{name}{k}" for name, n in (("first", 3), ("second", 3), ("third", 1)) for k in range(n)]
+    for inner in (f"<div>{section('first', 3, 200)}</div><div>{section('second', 3, 180)}</div><div>{section('third', 1, 20)}</div>", f"<section><div>{section('first', 3, 200)}</div></section><section>{section('second', 3, 180)}</section>{section('third', 1, 20)}"):
+        got = html.extract(f"<body><div id=content><h1>Title</h1>{inner}</div>{links}</body>").split()
+        assert got[0] == "Title" and [w for w in got if w in words] == words and "elsewhere" not in got
+
+
 def test_empty_tables(spark):
     d = _docs(spark, "x").limit(0)
     for f in (bpe.digest, secrets.digest, quality.digest, mixing.digest, jaccard.digest, lm.digest):
