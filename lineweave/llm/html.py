@@ -15,8 +15,9 @@ above the threshold or not mostly links, so that an article of several sections
 stays whole.
 
 Subtrees that markup names as something else than the article are cut before
-anything is counted: elements that never hold it (TAGS), and those whose class,
-id or role has one of NAMES as a word.
+anything is counted: elements that never hold it (TAGS), hidden ones, and, as
+far as they do not hold the article (`_cut`), page parts (PARTS) and those whose
+class, id or role has one of NAMES as a whole token.
 
 Defined results: a null or empty page, or one without text, gives an empty text;
 white space within a block becomes one space, and blocks are joined, in page
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .common import session
 
-TAGS = frozenset("head script style noscript template nav header footer aside form button select option textarea input iframe object embed svg canvas audio video map dialog menu".split())
+TAGS = frozenset("head script style noscript template button select option textarea input iframe object embed svg canvas audio video map".split())
+PARTS = frozenset("nav header footer aside form dialog menu".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu menubar navbar nav navigation breadcrumb breadcrumbs sidebar aside "
     "footer header masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
@@ -63,14 +65,13 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
-_WORD = re.compile(r"[a-z]+")
 
 
 class Tree:
-    """Nodes in page order as parallel lists; children come after their parent. items: of each node, its children and texts in order."""
+    """Nodes in page order as parallel lists; children come after their parent. items: of each node, its children and texts in order; cut: never read; doubted: cut unless it holds the article."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.cut = ["html"], [-1], [False]
+        self.tag, self.parent, self.cut, self.doubted = ["html"], [-1], [False], [False]
         self.items: list[list] = [[]]
         self._open = [0]
         at = 0
@@ -120,13 +121,15 @@ class Tree:
             self._pop_to(*CLOSES[name])
         if name in _PARAGRAPH_ENDS:
             self._pop_to({"p"}, _SCOPE)
-        cut = name in TAGS
+        cut, doubted = name in TAGS, name in PARTS
         if not cut and attributes and name not in ("body", "article", "main"):
-            cut = bool(_HIDDEN.search(attributes)) or any(not NAMES.isdisjoint(_WORD.findall(x.lower())) for x in _NAMED.findall(attributes))
+            cut = bool(_HIDDEN.search(attributes))
+            doubted = doubted or any(not NAMES.isdisjoint(x.strip("\"'").lower().split()) for x in _NAMED.findall(attributes))
         i, up = len(self.tag), self._open[-1]
         self.tag.append(name)
         self.parent.append(up)
         self.cut.append(cut or self.cut[up])
+        self.doubted.append(doubted)
         self.items.append([])
         self.items[up].append(i)
         if name not in VOID:
@@ -141,10 +144,46 @@ class Tree:
             self._pop_to({name}, ())
 
 
+def _cut(t: Tree) -> None:
+    """Cut the doubted nodes that do not hold the article.
+
+    One is kept if it has most of the body's characters outside links, unless an article or main with text stands apart
+    from it; and if it holds an article or main with text and none stands outside doubted nodes.
+    """
+    if not any(t.doubted):
+        return
+    n = len(t.tag)
+    text, linked, named = [0] * n, [0] * n, [False] * n
+    for i in range(n - 1, -1, -1):
+        if t.cut[i]:
+            continue
+        text[i] += sum(len(x.strip()) for x in t.items[i] if x.__class__ is str)
+        if t.tag[i] == "a":
+            linked[i] = text[i]
+        if i:
+            up = t.parent[i]
+            text[up] += text[i]
+            linked[up] += linked[i]
+            named[up] = named[up] or named[i] or (t.tag[i] in ("article", "main") and text[i] > 0)
+    inside, under = [False] * n, [False] * n  # in an article or main; in or at a doubted node
+    under[0] = t.doubted[0]
+    apart = False
+    for i in range(1, n):
+        up = t.parent[i]
+        inside[i] = inside[up] or t.tag[up] in ("article", "main")
+        under[i] = under[up] or t.doubted[i]
+        apart = apart or (t.tag[i] in ("article", "main") and text[i] > 0 and not under[i])
+    whole = text[0] - linked[0]
+    for i in range(1, n):
+        most = 2 * (text[i] - linked[i]) > whole and (inside[i] or not apart)
+        t.cut[i] = t.cut[i] or t.cut[t.parent[i]] or (t.doubted[i] and not most and not (named[i] and not apart))
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
     t = Tree(page)
+    _cut(t)
     n = len(t.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for i in range(n - 1, -1, -1):

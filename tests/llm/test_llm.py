@@ -125,6 +125,23 @@ def test_html_keeps_every_section_without_article():
         assert got[0] == "Title" and [w for w in got if w in words] == words and "elsewhere" not in got
 
 
+_STORY = " ".join(f"word{i}" for i in range(80))
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content no-sidebar"><article><p>{}</article></div>', '<div class="page has-header"><p>{}</div>', "<div id=search-results><p>{}</div>",
+    "<form action=/><header>H</header><article><p>{}</article></form>", "<form><div><p>{}</div></form>", "<main><h1></h1><form><p>{}</form></main>",
+    "<div class=widget><article><p>{}</article></div>", "<div class='x comments'><div><p>{}</div></div>", "<article><div class=hidden><p>{}</div></article>",
+])
+def test_html_never_cuts_what_holds_the_article(page):
+    assert html.extract(f"<body><nav>menu</nav>{page.format(_STORY)}<footer>foot</footer></body>") == _STORY
+
+
+@pytest.mark.parametrize("part", ["<div class=comments><article>{}</article></div>", "<aside>{}</aside>", "<div class='x ad'>{}</div>", "<div hidden>{}</div>"])
+def test_html_still_cuts_what_stands_beside_an_article(part):
+    assert html.extract(f"<body><article><p>{_STORY}</article>{part.format('other ' * 200)}</body>") == _STORY
+
+
 def test_empty_tables(spark):
     d = _docs(spark, "x").limit(0)
     for f in (bpe.digest, secrets.digest, quality.digest, mixing.digest, jaccard.digest, lm.digest):
