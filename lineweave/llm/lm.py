@@ -1,6 +1,6 @@
 """Stupid-backoff scores from corpus-wide bigram and unigram counts.
 
-Counts are kept by hash shard (`lookup.answers`); each document meets the counts
+Counts are kept by hash shard and whole 64-bit hash (`lookup.answers`); each document meets the counts
 of its own n-grams there. A document's own n-grams are not counted for it, so a
 text is scored by the rest of the corpus: with c' for such counts, a word w
 after v scores c'(v w) / c'(v) if the rest has the bigram, else ALPHA * (c'(w) + 1) /
@@ -54,7 +54,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
         mean = pa.array(sums / np.maximum(per_doc, 1), mask=per_doc == 0)
         return pa.Table.from_arrays([rows.column(0), pa.array(per_doc.astype(np.int64)), pa.array(np.bincount(s.doc[backed], minlength=m)), mean], ["doc_id", "n_words", "n_backed", "score"])
 
-    return lookup.answers(docs, _keys, lambda total, own, shard: np.minimum(total, 2**32 - 1), np.uint32, finish, "doc_id long, n_words long, n_backed long, score double", lower=True)
+    return lookup.answers(docs, _keys, lambda total, own, shard: np.minimum(total, 2**32 - 1), np.uint32, finish, "doc_id long, n_words long, n_backed long, score double", lower=True, wide=True)
 
 
 SQL = r"""

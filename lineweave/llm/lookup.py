@@ -57,15 +57,37 @@ class Keys:
     """Distinct keys of a chunk in the order in which they are sent: by shard, then key.
 
     sent: (shard, 32 bits of the key) as one number, ascending; at: for each of the given hashes, its place in sent.
-    Two hashes that agree in these bits count as one key.
+    Two hashes that agree in these bits count as one key. With wide, sent is the hash without its shard (hash // shards),
+    ascending within each shard, and only equal hashes are one key.
     """
 
-    def __init__(self, hashes: np.ndarray, shards: int):
+    def __init__(self, hashes: np.ndarray, shards: int, wide: bool = False):
+        if wide:
+            key, at, count = np.unique(hashes, return_inverse=True, return_counts=True)
+            shard = (key % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            self.sent, self.at, self.count = key[order] // np.uint64(shards), place[at], count[order]
+            self.bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            return
         short = (hashes % np.uint64(shards)) << np.uint64(32) | (hashes >> np.uint64(32))
         self.sent, self.at, self.count = np.unique(short, return_inverse=True, return_counts=True)
         self.bounds = np.searchsorted(self.sent, np.arange(shards + 1, dtype=np.uint64) << np.uint64(32))
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as differences, byte by byte: the upper bytes are zeros, which the shuffle's compression takes away."""
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    steps = np.ascontiguousarray(raw.view(np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def answers(
     docs: DataFrame,
     hashes: Callable[[ts.Scan], np.ndarray],
@@ -74,8 +96,10 @@ def answers(
     finish: Callable[[pa.RecordBatch, np.ndarray], pa.Table],
     schema: str,
     lower: bool = False,
+    wide: bool = False,
 ) -> DataFrame:
-    """hashes(scan): a chunk's keys, repeats included.
+    """wide: keys are told apart by all 64 bits, for answers that are results; else by 32 bits and the shard, for prefilters.
+    hashes(scan): a chunk's keys, repeats included.
     respond(total, own, shard): for keys of one chunk, their counts in the corpus and in the chunk -> answers of `width`.
     finish(rows, answer per key as hashes() gave them) -> rows of the result; called right after hashes() of these rows.
     """
@@ -84,14 +108,14 @@ def answers(
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, mark, rows in _chunks(batches):
-            k = Keys(hashes(ts.scan(rows.column(1), lower=lower)), shards)
-            low = (k.sent & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            k = Keys(hashes(ts.scan(rows.column(1), lower=lower)), shards, wide)
+            low = k.sent if wide else (k.sent & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             # a count of one, by far the most common, is not written
             body = []
             for i in range(shards):
                 a, b = k.bounds[i], k.bounds[i + 1]
                 more = np.flatnonzero(k.count[a:b] > 1).astype(np.uint32)
-                body.append(np.uint32(b - a).tobytes() + low[a:b].tobytes() + more.tobytes() + k.count[a:b][more].astype(np.uint32).tobytes())
+                body.append(np.uint32(b - a).tobytes() + (_packed(low[a:b]) if wide else low[a:b].tobytes()) + more.tobytes() + k.count[a:b][more].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), pa.array(np.full(shards, chunk)), pa.array(np.full(shards, mark, np.int64)), pa.array(body, pa.binary())], ["shard", "chunk", "mark", "body"])
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -99,10 +123,11 @@ def answers(
         for body in table.column("body"):
             raw = np.frombuffer(body.as_buffer(), np.uint32)
             n = int(raw[0])
-            more = (len(raw) - 1 - n) // 2
+            end = 1 + (2 * n if wide else n)
+            more = (len(raw) - end) // 2
             c = np.ones(n, np.uint32)
-            c[raw[1 + n : 1 + n + more]] = raw[1 + n + more :]
-            keys.append(raw[1 : 1 + n])
+            c[raw[end : end + more]] = raw[end + more :]
+            keys.append(_unpacked(raw[1:end]) if wide else raw[1:end])
             counts.append(c)
         flat, own = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(flat)
@@ -130,7 +155,7 @@ def answers(
         order = np.argsort(right.column("shard").to_numpy())
         bodies = right.column("answer").combine_chunks().take(pa.array(order))
         got = np.concatenate([np.frombuffer(x.as_buffer(), width) for x in bodies])
-        k = Keys(hashes(ts.scan(rows.column(1), lower=lower)), shards)
+        k = Keys(hashes(ts.scan(rows.column(1), lower=lower)), shards, wide)
         return finish(rows, got[k.at])
 
     sent = source.mapInArrow(send, "shard int, chunk long, mark long, body binary")

@@ -1,12 +1,14 @@
 import base64
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from lineweave.llm import bpe, chat, html, jaccard, lm, mixing, quality, secrets, topk
+from lineweave.llm import bpe, chat, html, jaccard, lm, lookup, mixing, quality, secrets, textscan, topk
 
 DOCS = "doc_id long, text string, source string, n_words string"
 
@@ -142,6 +144,22 @@ def test_html_still_cuts_what_stands_beside_an_article(part):
     assert html.extract(f"<body><article><p>{_STORY}</article>{part.format('other ' * 200)}</body>") == _STORY
 
 
+def test_lm_scores_tell_words_apart_that_share_32_bits_and_a_shard(spark):
+    shards = lookup.shards_for(_docs(spark, "x"))
+    words = [f"q{i}" for i in range(1_500_000)]
+    h = textscan.scan(pa.array([" ".join(words)]), lower=True).hash
+    short = (h % np.uint64(shards)) << np.uint64(32) | h >> np.uint64(32)
+    order = np.argsort(short)
+    k = np.flatnonzero(short[order][1:] == short[order][:-1])[0]
+    a, b = words[order[k]], words[order[k + 1]]
+    texts = [f"{a} u v", f"{a} w {b}", f"{a} u {a} u", f"{b} z", "v z", None, ""]
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    want = sorted(c.execute(lm.SQL).fetchall())
+    assert sorted(map(tuple, lm.digest(_docs(spark, *texts)).collect())) == want
+
+
 def test_empty_tables(spark):
     d = _docs(spark, "x").limit(0)
     for f in (bpe.digest, secrets.digest, quality.digest, mixing.digest, jaccard.digest, lm.digest):
