@@ -1,4 +1,7 @@
-"""A pipeline over documents: each stage takes what its predecessor kept."""
+"""A pipeline over documents: each stage takes what its predecessor kept.
+
+A row is known by ROW, a key given by the first stage, and not by its doc_id, which may be null or repeat.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +12,21 @@ from lineweave.llm import bpe, jaccard, mixing, quality, secrets
 from lineweave.storage import written
 
 
+ROW = "__row"
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy rejects go."""
-    return quality.apply_policy(docs)
+    """Documents that the quality policy rejects go; the others get their keys."""
+    return quality.apply_policy(docs).withColumn(ROW, F.monotonically_increasing_id())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the least id stays."""
-    heads = jaccard.components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Of each group of linked documents, one row stays: that with the least id, nulls last."""
+    rows = docs.select(F.col(ROW).alias("doc_id"), "text")
+    comps = jaccard.components(rows).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    heads = comps.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).getField(ROW).alias(ROW))
+    return docs.join(heads, ROW, "left_semi")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +36,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, row_col=ROW)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

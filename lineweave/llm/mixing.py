@@ -57,14 +57,16 @@ def _offset(seed: int):
     return F.pmod(F.xxhash64(F.col("source"), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
 
-def copies(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), seed: int = 1) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: one row per document."""
+def copies(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), seed: int = 1, row_col: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies: one row per document. row_col: a unique column to keep, which orders rows that share an id."""
+    own = [row_col] if row_col else []
     session(docs)
     # written, as three steps follow from it and the words of a text are counted once
     sized = written(docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *own,
     ))
     h = F.xxhash64("doc_id", F.lit(seed))
     # eight classes an octave
@@ -79,20 +81,21 @@ def copies(docs: DataFrame, source_col: str = "source", text_col: str = "text",
     s = slices.withColumn("slice_before", F.coalesce(F.sum("n").over(before(Window.partitionBy("source", "class").orderBy("slice"))), F.lit(0)))
     places = s.alias("s").join(per_class.alias("c"), F.expr("s.source <=> c.source AND s.class = c.class")).select("s.source", "s.class", "s.slice", (F.col("class_before") + F.col("slice_before")).alias("before"), "source_size", "target")
     placed = sized.alias("d").join(places.alias("p"), F.expr("d.source <=> p.source AND d.class = p.class AND d.slice = p.slice")).select("d.*", "p.before", "p.source_size", "p.target")
-    within = Window.partitionBy("source", "class", "slice").orderBy("size", "h", "doc_id")
+    within = Window.partitionBy("source", "class", "slice").orderBy("size", "h", "doc_id", *own)
     per_doc = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     numbered = placed.withColumn("place", F.col("before") + F.row_number().over(within)).withColumn("each", per_doc)
     crossed = F.floor(F.col("place") * F.col("each") + _offset(seed)) - F.floor((F.col("place") - 1) * F.col("each") + _offset(seed))
-    return numbered.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.ceil("each")).cast("long").alias("copies"))
+    return numbered.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.ceil("each")).cast("long").alias("copies"), *own)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", row_col: str | None = None, **options) -> DataFrame:
     """The documents themselves, each as often as it is taken, with all their columns.
 
-    Rows are matched by id, so ids must be unique here: a repeated id would be matched with each of its rows.
+    Rows are matched by row_col, which must be unique. Without it they are matched by id, so ids must then be unique: a
+    repeated id would be matched with each of its rows.
     """
-    taken = copies(docs, id_col=id_col, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    joined = docs.join(taken, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    taken = copies(docs, id_col=id_col, row_col=row_col, **options).filter("copies > 0").select(F.col(row_col or "doc_id").alias("__id"), "copies")
+    joined = docs.join(taken, F.col(f"`{row_col or id_col}`").eqNullSafe(F.col("__id")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
