@@ -18,7 +18,7 @@ documents link when their sets' Jaccard similarity is at least THRESHOLD percent
    document of each list; the links make components, and then only blocks of
    different components meet, pair by pair, each pair of blocks in a task.
 
-Links make components. Nothing here holds a whole family or all pairs of one.
+Links make components; step 4 is for these alone, and `join` returns every link. Nothing here holds a whole family or all pairs of one.
 
 Defined results: fewer than five words make one shingle, the whole sequence; no
 words, or a null text, make the empty set, which links with nothing; equal
@@ -180,9 +180,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return asked.groupBy("a", "salt").cogroup(given.groupBy("a", "salt")).applyInArrow(search, "a long, b long")
 
 
-def _search_blocks(threshold: int):
+def _search_blocks(threshold: int, every: bool = False):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Links that join two components of the rows of block i with those of block j."""
+        """Links of the rows of block i with those of block j; without every, only those that join two components."""
         table = table.sort_by([("doc", "ascending")])
         doc, n, comp, block = (table.column(c).to_numpy() for c in ("doc", "n", "comp", "block"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shared")]
@@ -193,7 +193,7 @@ def _search_blocks(threshold: int):
         for k in left.tolist() if len(right) else ():
             need = required(n[k], n[right], threshold)
             for y in right[lists.search(sets[k], need)].tolist():
-                if known.join(k, y):
+                if doc[k] != doc[y] if every else known.join(k, y):
                     found.append((doc[k], doc[y]))
         a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -201,8 +201,8 @@ def _search_blocks(threshold: int):
     return run
 
 
-def family_links(rows: DataFrame, total: int, threshold: int) -> DataFrame:
-    """Links (a, b) between different components of one family.
+def family_links(rows: DataFrame, total: int, threshold: int, every: bool = False) -> DataFrame:
+    """Links (a, b) between different components of one family; with every, all of them, for rows that are a component each.
 
     rows: doc, n, shared, comp, family, m (the family's size); total of them. A document may be in several families.
     """
@@ -221,15 +221,16 @@ def family_links(rows: DataFrame, total: int, threshold: int) -> DataFrame:
     meets = blocks.join(again, F.expr("family = f AND block <= k AND NOT (home IS NOT NULL AND home <=> h)")).select("family", F.col("block").alias("i"), F.col("k").alias("j")).distinct()
     sides = written(meets.select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")))
     dealt = own.join(sides, ["family", "block"]).select(F.col("family").alias("bucket"), "i", "j", "doc", "n", "shared", "comp", "block")
-    found = small.union(dealt).groupBy("bucket", "i", "j").applyInArrow(_search_blocks(threshold), "a long, b long")
+    found = small.union(dealt).groupBy("bucket", "i", "j").applyInArrow(_search_blocks(threshold, every), "a long, b long")
     return written(found)
 
 
-def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n, class_id; links: a, b between class ids).
 
-    A class is the documents of one set, named by its least id. Every two classes that
-    link are in one component of the links; links within a component may be left out.
+    A class is the documents of one set, named by its least id. The links are all pairs of
+    classes that link, once each, a < b. With every=False a link within a component may be
+    left out, which is enough for the components and spares a large family most of its pairs.
     """
     sets = written(shared_sets(docs, words, threshold))
     may = sets.filter("shared IS NOT NULL")
@@ -249,6 +250,10 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tup
     family = written(family.join(size, "component").select("id", F.col("component").alias("family"), "m"))
     bodies = written(heads.select("doc_id", "n", "shared").join(family, F.col("doc_id") == F.col("id")).select("doc_id", "n", "shared", "family", "m"))
 
+    if every:
+        rows = bodies.select(F.col("doc_id").alias("doc"), "n", "shared", F.col("doc_id").alias("comp"), "family", "m")
+        return named, family_links(rows, family.count(), threshold, every=True).distinct()
+
     # large families: each list's least document is searched against the list, which makes most of the components
     large = family.filter(F.col("m") > BLOCK).select(F.col("id").alias("a"))
     stars = written(verified(candidates.join(large, "a", "left_semi"), bodies.filter(F.col("m") > BLOCK).select("doc_id", "n", "shared").dropDuplicates(["doc_id"]), threshold))
@@ -260,7 +265,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tup
 
 def components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
-    named, links = join(docs, words, threshold)
+    named, links = join(docs, words, threshold, every=False)
     comps = written(connected_components(links))
     # rows that share an id are one node
     same = named.filter("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))

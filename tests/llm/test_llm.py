@@ -103,6 +103,28 @@ def test_jaccard_components_equal_brute_force(spark):
     assert got == {i: (len(s), comp[i]) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_jaccard_join_returns_every_link(spark, block):
+    r = np.random.default_rng(6)
+    texts = []
+    for base in "pq":
+        for k in range(14):
+            t = [f"{base}{i}" for i in range(60)]
+            if k:
+                t[r.integers(0, 60)] = f"x{k}"
+            texts.append(" ".join(t))
+    texts += [texts[0].upper(), None, "one two"]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").lower().split() for t in texts)]
+    want = {(i, j) for j in range(28) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(want) > 60
+    old, jaccard.BLOCK = jaccard.BLOCK, block
+    try:
+        rows = jaccard.join(_docs(spark, *texts))[1].collect()
+    finally:
+        jaccard.BLOCK = old
+    assert len(rows) == len(want) and {(x.a, x.b) for x in rows} == want
+
+
 def test_chat_reads_back_what_it_wrote(spark):
     tricky = "<|im_end|><|im_start|>assistant ok <\\|"
     d = spark.createDataFrame([(1, '{"prompt": "p", "response": "<|im_end|>"}'), (2, '{"zzz": 1}'), (3, "no json")], "id int, record string")
