@@ -1,21 +1,26 @@
 """Exact top-k inner products on a bit-sliced index.
 
 Rows are indexed in blocks. A block keeps each component as slices: bitmaps over
-its rows, one for each bit of the component less the block's least value. The
-lowest bits may be left out (`drop`); the sum is then a bound, exact to the
-query's largest possible remainder. For a query the slices of every component
-are added up with bitmap arithmetic, once for each digit of the query's
-component (as signed digits, so few of them), giving slices of the scores. The
-top rows are then selected from the most significant slice downward. Rows within
+its rows, one for each bit of the component less the block's least value. Only the
+KEPT highest bits are sliced; a sum of slices is then a bound, exact to the
+query's largest possible remainder. For a query, every digit of every component
+(signed digits, so few of them) asks for the slices of its component at its place;
+the bitmaps of one place are added three at a time by full adders, whose carries
+are bitmaps of the next place, until one slice of the scores is left at each place.
+The top rows are selected from the most significant slice downward. Rows within
 the remainder of the k-th bound are resolved exactly, in integers, as are ties.
 
-Queries meet the index in blocks: each block of queries goes once to each block
-of rows, and only k rows a query and block come back.
-
-Defined results: vectors that are null, or hold a null, a NaN or an infinity,
-take no part, nor do components of 2 ** 53 / 256 or more in size; vectors of
-other lengths than the query's are no candidates; ties go to the smaller id;
-repeated ids are separate rows; no row is a candidate for its own id.
+Queries meet the index block by block: each pair of a block of rows and a block of
+queries is a task's group, which holds these two alone, and only k rows a query and
+block come back. The scores asked for are rows times queries, so the work grows with
+both: where the queries are a fixed share of the rows, with the square of the rows.
+
+Defined results: vectors that are null, or hold a null, a NaN or an infinity, and
+rows with a null id take no part; whole components are exact whatever their size, and
+a score beyond 64 bits is returned as the nearest 64-bit number; vectors of other
+lengths than the query's are no candidates; ties go to the smaller id; repeated ids
+are separate rows among the candidates; of query rows that share an id the least
+vector is asked; no row is a candidate for its own id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +34,16 @@ from pyspark.sql import functions as F
 
 from .common import session
 
-#: Rows of a block of the index, and queries of a block.
-ROWS, QUERIES, DROP = 1 << 13, 512, 3
-#: Queries whose slices are added at once.
-_TOGETHER = 16
+#: Rows of a block of the index, queries of a block, and bits of a component that are sliced.
+ROWS, QUERIES, KEPT = 1 << 15, 512, 6
 
 
-def _digits(v: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place, where +1, where -1) of the non-adjacent form of each number."""
+def _digits(v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, -1, 0 or 1 for each number) of the non-adjacent form."""
     v, j = v.astype(np.int64).copy(), 0
     while v.any():
         d = np.where(v & 1, 2 - (v & 3), 0)
-        yield j, np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+        yield j, d
         v = (v - d) >> 1
         j += 1
 
@@ -48,61 +51,62 @@ def _digits(v: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 class Block:
     """The index of some rows: ids (sorted) and whole components, [rows, components]."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, drop: int = DROP):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, kept: int = KEPT):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+        self.ids, self.x = ids[order], x[order].astype(np.int64)
         n, self.dims = x.shape
         self.words = (n + 63) // 64
-        self.least = self.x.min(axis=0) if self.dims else np.zeros(0, np.int64)
-        above = self.x - self.least
-        self.bits = int(above.max()).bit_length() if above.size else 0
-        self.drop = min(drop, max(0, self.bits - 1))
-        kept = above >> self.drop
-        self.remainder = (1 << self.drop) - 1
-        # slices[d][b]: bit b of component d, a bitmap over rows
-        self.slices = np.zeros((self.dims, max(0, self.bits - self.drop), self.words), np.uint64)
-        for b in range(self.bits - self.drop):
-            packed = np.packbits((kept >> b & 1).astype(np.uint8), axis=0, bitorder="little")
+        above = self.x - self.x.min(axis=0) if self.x.size else self.x
+        bits = int(above.max()).bit_length() if above.size else 0
+        self.drop = max(0, bits - kept)
+        self.bits = bits - self.drop
+        above = above >> self.drop
+        # slices[d * bits + b]: bit b of component d, a bitmap over rows
+        slices = np.zeros((self.dims, self.bits, self.words), np.uint64)
+        for b in range(self.bits):
+            packed = np.packbits((above >> b & 1).astype(np.uint8), axis=0, bitorder="little")
             room = np.zeros((self.words * 8, self.dims), np.uint8)
             room[: len(packed)] = packed
-            self.slices[:, b, :] = np.ascontiguousarray(room.T).view(np.uint64)
+            slices[:, b, :] = np.ascontiguousarray(room.T).view(np.uint64)
+        self.slices = slices.reshape(-1, self.words)
         self.valid = np.zeros(self.words, np.uint64)
         whole = np.packbits(np.ones(n, np.uint8), bitorder="little")
         self.valid.view(np.uint8)[: len(whole)] = whole
 
     def sums(self, q: np.ndarray) -> np.ndarray:
-        """Slices of sum(q * kept) for each query, [slices, queries, words], in two's complement with the sign inverted, so that larger is larger."""
-        most = np.abs(q).sum(axis=1).max() * (1 << (self.bits - self.drop)) if q.size else 0
-        size = int(most).bit_length() + 2
-        acc = np.zeros((size, len(q), self.words), np.uint64)
-        for d in range(self.dims):
-            x = self.slices[d]
-            for j, plus, minus in _digits(q[:, d]):
-                for some, less in ((plus, False), (minus, True)):
-                    if len(some):
-                        self._add(acc, some, x, j, less)
-        acc[size - 1] ^= np.uint64(0xFFFFFFFFFFFFFFFF)
-        return acc
-
-    @staticmethod
-    def _add(acc: np.ndarray, some: np.ndarray, x: np.ndarray, j: int, less: bool) -> None:
-        carry = None
-        for b in range(j, len(acc)):
-            a = acc[b, some]
-            if b - j < len(x):
-                v = x[b - j]
-                if carry is None:
-                    acc[b, some] = a ^ v
-                    carry = (~a & v) if less else (a & v)
+        """Slices, [places, words], of sum(q * sliced bits) plus a number that is the same for every row.
+
+        A negative digit asks for the complement of a slice, which is short of the negated slice by one for each row.
+        """
+        most = int(np.abs(q).sum()) << self.bits
+        # signed digits may reach one place beyond the number's own, and their complements add as much again
+        places: list[list[np.ndarray]] = [[] for _ in range(most.bit_length() + 3)]
+        for j, d in _digits(q):
+            plus, minus = np.flatnonzero(d == 1) * self.bits, np.flatnonzero(d == -1) * self.bits
+            for b in range(self.bits):
+                if len(plus):
+                    places[j + b].append(self.slices[plus + b])
+                if len(minus):
+                    places[j + b].append(~self.slices[minus + b])
+        out = np.zeros((len(places), self.words), np.uint64)
+        for p, stacks in enumerate(places):
+            if not stacks:
+                continue
+            rest = np.concatenate(stacks)
+            while len(rest) > 1:
+                k = len(rest) // 3
+                if k:
+                    a, b, c = rest[:k], rest[k : 2 * k], rest[2 * k : 3 * k]
+                    half = a ^ b
+                    carry = (a & b) | (half & c)
+                    rest = np.concatenate([half ^ c, rest[3 * k :]])
                 else:
-                    half = a ^ v
-                    acc[b, some] = half ^ carry
-                    carry = ((~a & v) | (~half & carry)) if less else ((a & v) | (half & carry))
-            else:
-                if carry is None or not carry.any():
-                    return
-                acc[b, some] = a ^ carry
-                carry = (~a & carry) if less else (a & carry)
+                    carry = rest[:1] & rest[1:]
+                    rest = rest[:1] ^ rest[1:]
+                places[p + 1].append(carry)
+            out[p] = rest[0]
+            stacks.clear()
+        return out
 
     def _select(self, slices: np.ndarray, k: int) -> np.ndarray:
         """Rows that hold the k highest sums, with all rows tied to the k-th, as a bitmap; from the most significant slice down."""
@@ -133,107 +137,128 @@ class Block:
                 equal &= ~slices[b]
         return above | equal
 
-    def _value(self, slices: np.ndarray, row: int) -> int:
-        w, b = row >> 6, np.uint64(row & 63)
-        return sum(int(s[w] >> b & np.uint64(1)) << i for i, s in enumerate(slices))
+    @staticmethod
+    def _values(slices: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        w, b = rows >> 6, (rows & 63).astype(np.uint64)
+        return sum(((s[w] >> b & np.uint64(1)).astype(np.int64) << i for i, s in enumerate(slices)), np.zeros(len(rows), np.int64))
 
     def top(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query's id, ids, scores) of the k best rows for each query, exactly."""
-        for at in range(0, len(q), _TOGETHER):
-            some = q[at : at + _TOGETHER]
-            acc = self.sums(some)
-            # what the dropped bits can add: between -low and +high
-            scale = 1 << self.drop
-            high = np.where(some > 0, some, 0).sum(axis=1) * self.remainder
-            low = np.where(some < 0, -some, 0).sum(axis=1) * self.remainder
-            for i in range(len(some)):
-                own = int(query_ids[at + i])
-                slices = acc[:, i, :]
-                mine = int(np.searchsorted(self.ids, own, "right") - np.searchsorted(self.ids, own, "left"))
-                rows = self._rows(self._select(slices, k + mine))
-                spread = int(high[i] + low[i])
-                if spread and len(rows):
-                    kth = sorted((self._value(slices, r) for r in rows.tolist()), reverse=True)[: k + mine][-1]
-                    rows = self._rows(self._from(slices, max(0, kth - -(-spread // scale))))
-                rows = rows[self.ids[rows] != own]
-                scores = self.x[rows] @ some[i]
-                best = np.lexsort((self.ids[rows], -scores))[:k]
-                yield own, self.ids[rows][best], scores[best]
-
-
-_PACKED = "block int, dims int, ids binary, body binary"
+        """(query's id, ids, scores) of the k best rows for each query, exactly. Sums must fit 62 bits."""
+        remainder = (1 << self.drop) - 1
+        for own, mine in zip(query_ids.tolist(), q.astype(np.int64), strict=True):
+            slices = self.sums(mine)
+            same = int(np.searchsorted(self.ids, own, "right") - np.searchsorted(self.ids, own, "left"))
+            rows = self._rows(self._select(slices, k + same))
+            # what the dropped bits can add and take away, together
+            spread = int(np.abs(mine).sum()) * remainder
+            if spread and len(rows):
+                kth = int(np.sort(self._values(slices, rows))[-min(len(rows), k + same)])
+                rows = self._rows(self._from(slices, max(0, kth - -(-spread >> self.drop))))
+            rows = rows[self.ids[rows] != own]
+            scores = self.x[rows] @ mine
+            best = np.lexsort((self.ids[rows], -scores))[:k]
+            yield own, self.ids[rows][best], scores[best]
+
+
+def _large(row_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As Block.top, for components whose sums may pass 62 bits: in Python's integers."""
+    rows = [[int(v) for v in r] for r in x.tolist()]
+    for own, mine in zip(query_ids.tolist(), q.tolist(), strict=True):
+        mine = [int(v) for v in mine]
+        scored = sorted((-sum(a * b for a, b in zip(r, mine, strict=True)), i) for r, i in zip(rows, row_ids.tolist(), strict=True) if i != own)[:k]
+        yield own, np.array([i for _, i in scored], np.int64), np.array([min(2**63 - 1, max(-(2**63), -s)) for s, _ in scored], np.int64)
+
+
+#: kind: the type of the components in body; vectors are packed with others of their length and kind.
+_PACKED = "block int, dims int, kind string, ids binary, body binary"
+_KINDS = ("i2", "i4", "f8")
 
 
 def _whole(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, the vector's whole components; those that take no part are gone."""
-    x = F.col(vector_col)
-    scaled = F.transform(x, lambda v: v.cast("double") * 256)
-    fine = F.forall(scaled, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float(1 << 53))))
-    return df.select(F.col(id_col).cast("long").alias("id"), scaled.alias("x")).filter(F.col("x").isNotNull() & F.coalesce(fine, F.lit(False)) & F.col("id").isNotNull()).select("id", F.transform("x", lambda v: F.floor(v)).alias("x"))
+    """id and 256 times the vector; rows that take no part are gone."""
+    scaled = F.transform(F.col(vector_col), lambda v: v.cast("double") * 256)
+    fine = F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
+    return df.filter(F.col(vector_col).isNotNull() & F.coalesce(fine, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), scaled.alias("x"))
 
 
 def _pack(df: DataFrame, blocks: int) -> DataFrame:
-    """Blocks of rows of one length each, as bytes. df: block, id, x."""
+    """Blocks of rows of one length and kind each, as bytes. df: block, id, x."""
 
     def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[list[np.ndarray]]] = {}
+        held: dict[tuple[int, int, str], list[list[np.ndarray]]] = {}
 
         def out(key):
             ids, x = (np.concatenate(p) for p in zip(*held.pop(key), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["block", "dims", "ids", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([key[2]]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["block", "dims", "kind", "ids", "body"])
 
         for b in pieces:
-            block, ids, x = (c.to_numpy(zero_copy_only=False) for c in b.columns[:2]), None, b.column(2)
-            block, ids = block
+            block, ids = (c.to_numpy(zero_copy_only=False) for c in b.columns[:2])
+            x = b.column(2)
             size = np.diff(x.offsets.to_numpy()) if len(x) else np.zeros(0, int)
-            flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            start = np.concatenate([[0], np.cumsum(size)])
-            for k in sorted({*zip(block.tolist(), size.tolist(), strict=True)}):
-                mine = np.flatnonzero((block == k[0]) & (size == k[1]))
-                vectors = flat[(start[mine][:, None] + np.arange(k[1])).ravel()]
-                held.setdefault(k, []).append([ids[mine], vectors])
-                if sum(len(p[0]) for p in held[k]) >= 4 * ROWS:
-                    yield out(k)
-        for k in list(held):
-            yield out(k)
+            flat = np.floor(x.flatten().to_numpy(zero_copy_only=False))
+            start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            most = np.maximum.reduceat(np.abs(np.append(flat, 0.0)), start[:-1]) if len(x) else np.zeros(0)
+            most[size == 0] = 0
+            kind = np.where(most < 2**15, 0, np.where(most < 2**24, 1, 2))
+            for k in sorted({*zip(block.tolist(), size.tolist(), kind.tolist(), strict=True)}):
+                mine = np.flatnonzero((block == k[0]) & (size == k[1]) & (kind == k[2]))
+                vectors = flat[(start[mine][:, None] + np.arange(k[1])).ravel()].astype(_KINDS[k[2]])
+                key = (k[0], k[1], _KINDS[k[2]])
+                held.setdefault(key, []).append([ids[mine], vectors])
+                if sum(len(p[0]) for p in held[key]) >= ROWS:
+                    yield out(key)
+        for key in list(held):
+            yield out(key)
 
     return df.repartition(max(1, blocks), "block").mapInArrow(run, _PACKED)
 
 
-def _search(k: int, drop: int):
+def _unpacked(table: pa.Table) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    for dims, kind, ids, body in zip(*(table.column(c).to_pylist() for c in ("dims", "kind", "ids", "body")), strict=True):
+        ids = np.frombuffer(ids, np.int64)
+        yield dims, kind, ids, np.frombuffer(body, kind).reshape(len(ids), dims)
+
+
+def _search(k: int, kept: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, scores, whose = [], [], []
-        for dims, rows, body in zip(*(left.column(c).to_pylist() for c in ("dims", "ids", "body")), strict=True):
-            rows = np.frombuffer(rows, np.int64)
-            body = np.frombuffer(body, np.int64).reshape(len(rows), dims)
+        whose, ids, scores = [], [], []
+        asked = list(_unpacked(right))
+        for dims, kind, rows, x in _unpacked(left):
             for at in range(0, len(rows), ROWS):
-                index = Block(rows[at : at + ROWS], body[at : at + ROWS], drop)
-                for q_dims, q_ids, q_body in zip(*(right.column(c).to_pylist() for c in ("dims", "ids", "body")), strict=True):
-                    if q_dims == dims:
-                        q_ids = np.frombuffer(q_ids, np.int64)
-                        for own, got, score in index.top(q_ids, np.frombuffer(q_body, np.int64).reshape(len(q_ids), dims), k):
-                            whose.append(np.full(len(got), own))
-                            ids.append(got)
-                            scores.append(score)
+                some, body = rows[at : at + ROWS], x[at : at + ROWS]
+                index = None
+                for q_dims, q_kind, q_ids, q in asked:
+                    if q_dims != dims:
+                        continue
+                    if "f8" in (kind, q_kind) or dims >= 1 << 12:
+                        best = _large(some, body, q_ids, q, k)
+                    else:
+                        index = index or Block(some, body, kept)
+                        best = index.top(q_ids, q, k)
+                    for own, got, score in best:
+                        whose.append(np.full(len(got), own))
+                        ids.append(got)
+                        scores.append(score)
         flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (whose, ids, scores)]
         return pa.Table.from_arrays([pa.array(x) for x in flat], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", drop: int = DROP) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", kept: int = KEPT) -> DataFrame:
     """Each query's k highest scores among the rows: query_id, rank, vec_id, score.
 
-    A query that stands more than once in `queries` is answered once.
+    The two counts of rows that size the blocks are the only actions.
     """
     session(rows)
-    n = rows.count()
-    blocks = max(1, -(-n // ROWS))
-    indexed = _pack(_whole(rows, id_col, vector_col).withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).select("block", "id", "x"), blocks)
-    asked = _whole(queries, id_col, vector_col).dropDuplicates(["id"])
-    asked = _pack(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // (50 * QUERIES))))).cast("int")).select("block", "id", "x"), max(1, -(-n // (50 * QUERIES))))
-    everywhere = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = indexed.groupBy("block").cogroup(everywhere.groupBy("block")).applyInArrow(_search(k, drop), "query_id long, vec_id long, score long")
+    asked = _whole(queries, id_col, vector_col).groupBy("id").agg(F.min("x").alias("x"))
+    blocks, parts = max(1, -(-rows.count() // ROWS)), max(1, -(-queries.count() // QUERIES))
+    numbered = _whole(rows, id_col, vector_col).withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    indexed = _pack(numbered.select("block", "id", "x"), blocks)
+    asked = _pack(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).select("block", "id", "x"), parts)
+    left = indexed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = asked.withColumnRenamed("block", "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_search(k, kept), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -1,4 +1,5 @@
 import base64
+import math
 import re
 
 import duckdb
@@ -62,18 +63,44 @@ def test_mix_hits_targets_and_repeats(spark):
         assert abs(sum(size.get(i, 0) * c for i, (c, _, x) in a.items() if x == s) - target) < 40
 
 
-def test_topk_equals_brute_force():
+def _best(rows, ids, query, own, k):
+    return sorted((-sum(a * b for a, b in zip(v, query, strict=True)), i) for v, i in zip(rows, ids, strict=True) if i != own)[:k]
+
+
+@pytest.mark.parametrize("kept", [1, 3, 6, 30])
+def test_topk_block_equals_brute_force(kept):
     r = np.random.default_rng(3)
     x = r.integers(-300, 300, (500, 7))
     x[100:200] = x[100]
+    x[0], x[1] = 0, 299
     ids = r.permutation(500)
-    block = topk.Block(ids, x)
-    for own, got, score in block.top(ids[:40], x[:40], 5):
-        q = x[np.flatnonzero(ids == own)[0]]
-        want = sorted((-int(v @ q), int(i)) for v, i in zip(x, ids, strict=True) if i != own)[:5]
+    block = topk.Block(ids, x, kept)
+    for own, got, score in block.top(ids[:60], x[:60], 5):
+        want = _best(x.tolist(), ids.tolist(), x[np.flatnonzero(ids == own)[0]].tolist(), own, 5)
         assert [(-int(s), int(i)) for s, i in zip(score, got, strict=True)] == want
 
 
+def test_topk_search_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 64)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(0, 1, 3 + i % 2 * 2).tolist(), "clash") for i in range(400)]
+    rows += [(i, rows[7][1], None) for i in range(400, 460)]  # ties
+    rows += [(7, [9.0] * 5, None), (50, [0.25, -0.5, 3.0], None)]  # repeated ids
+    rows += [(501, [3e30, -1.0, 2.0], None), (502, [2.0**40, 1.0, 1.0], None), (550, [2.0**41, 0.5, 0.5], None)]  # beyond 62 bits
+    rows += [(503, None, None), (504, [1.0, None, 2.0], None), (505, [float("nan")] * 3, None), (506, [float("inf")] * 3, None), (None, [1.0] * 3, None), (600, [], None), (601, [], None)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string")
+    whole = [(i, [math.floor(v * 256) for v in x]) for i, x, _ in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    want = set()
+    for own in {i for i, _ in whole if i % 50 == 0}:
+        q = min(x for i, x in whole if i == own)
+        same = [(i, x) for i, x in whole if len(x) == len(q)]
+        for rank, (s, i) in enumerate(_best([x for _, x in same], [i for i, _ in same], q, own, 5), 1):
+            want.add((own, rank, i, min(2**63 - 1, max(-(2**63), -s))))
+    got = [tuple(x) for x in topk.digest(d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_jaccard_components_equal_brute_force(spark):
     r = np.random.default_rng(5)
     base = [f"w{i}" for i in range(60)]
