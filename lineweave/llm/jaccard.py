@@ -72,7 +72,7 @@ _SETS = "doc_id long, n long, a long, b long, shared binary, prefix array<bigint
 def shared_sets(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """Each document: n shingles, a fingerprint (a, b) of the set, and for those that may link the shared shingles and the rarest of them."""
 
-    def respond(total: np.ndarray, own: np.ndarray, shard: int) -> np.ndarray:
+    def respond(total: np.ndarray, own: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.where(total < 128, total, np.minimum(255, 100 + 4 * np.log2(np.maximum(total, 1)).astype(np.int64)))
 
     def finish(rows: pa.RecordBatch, rank: np.ndarray) -> pa.Table:

@@ -54,7 +54,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
         mean = pa.array(sums / np.maximum(per_doc, 1), mask=per_doc == 0)
         return pa.Table.from_arrays([rows.column(0), pa.array(per_doc.astype(np.int64)), pa.array(np.bincount(s.doc[backed], minlength=m)), mean], ["doc_id", "n_words", "n_backed", "score"])
 
-    return lookup.answers(docs, _keys, lambda total, own, shard: np.minimum(total, 2**32 - 1), np.uint32, finish, "doc_id long, n_words long, n_backed long, score double", lower=True, wide=True)
+    return lookup.answers(docs, _keys, lambda total, own, first: np.minimum(total, 2**32 - 1), np.uint32, finish, "doc_id long, n_words long, n_backed long, score double", lower=True, wide=True)
 
 
 SQL = r"""

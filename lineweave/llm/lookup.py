@@ -91,20 +91,23 @@ def _unpacked(raw: np.ndarray) -> np.ndarray:
 def answers(
     docs: DataFrame,
     hashes: Callable[[ts.Scan], np.ndarray],
-    respond: Callable[[np.ndarray, np.ndarray, int], np.ndarray],
+    respond: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
     width: type,
     finish: Callable[[pa.RecordBatch, np.ndarray], pa.Table],
     schema: str,
     lower: bool = False,
     wide: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """wide: keys are told apart by all 64 bits, for answers that are results; else by 32 bits and the shard, for prefilters.
     hashes(scan): a chunk's keys, repeats included.
-    respond(total, own, shard): for keys of one chunk, their counts in the corpus and in the chunk -> answers of `width`.
+    respond(total, own, first): for each chunk's keys, their counts in the corpus and in the chunk, and whether no chunk
+    read before it holds them -> answers of `width`.
+    carry: further columns of docs that finish() finds after the id and the text.
     finish(rows, answer per key as hashes() gave them) -> rows of the result; called right after hashes() of these rows.
     """
     session(docs)
-    source, shards = ids_and_text(docs), shards_for(docs)
+    source, shards = ids_and_text(docs, carry=carry), shards_for(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, mark, rows in _chunks(batches):
@@ -118,7 +121,8 @@ def answers(
                 body.append(np.uint32(b - a).tobytes() + (_packed(low[a:b]) if wide else low[a:b].tobytes()) + more.tobytes() + k.count[a:b][more].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), pa.array(np.full(shards, chunk)), pa.array(np.full(shards, mark, np.int64)), pa.array(body, pa.binary())], ["shard", "chunk", "mark", "body"])
 
-    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def count(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("chunk").to_numpy())))
         keys, counts = [], []
         for body in table.column("body"):
             raw = np.frombuffer(body.as_buffer(), np.uint32)
@@ -130,14 +134,15 @@ def answers(
             keys.append(_unpacked(raw[1:end]) if wide else raw[1:end])
             counts.append(c)
         flat, own = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(flat)
+        order = np.argsort(flat, kind="stable")  # equal keys stay in the order of their chunks
         by_key = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], by_key[1:] != by_key[:-1]])) if len(flat) else np.zeros(0, np.int64)
-        total = np.empty(len(flat), np.int64)
+        new = np.flatnonzero(np.concatenate([[True], by_key[1:] != by_key[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        total, first = np.empty(len(flat), np.int64), np.zeros(len(flat), bool)
         if len(flat):
-            sums = np.add.reduceat(own[order].astype(np.int64), first)
-            total[order] = np.repeat(sums, np.diff(np.concatenate([first, [len(flat)]])))
-        out = respond(total, own, key[0].as_py()).astype(width)
+            sums = np.add.reduceat(own[order].astype(np.int64), new)
+            total[order] = np.repeat(sums, np.diff(np.concatenate([new, [len(flat)]])))
+            first[order[new]] = True
+        out = respond(total, own, first).astype(width)
         cut = np.cumsum([len(k) for k in keys])[:-1]
         return pa.Table.from_arrays([table.column("chunk"), table.column("mark"), table.column("shard"), pa.array([x.tobytes() for x in np.split(out, cut)], pa.binary())], ["chunk", "mark", "shard", "answer"])
 
@@ -158,7 +163,7 @@ def answers(
         k = Keys(hashes(ts.scan(rows.column(1), lower=lower)), shards, wide)
         return finish(rows, got[k.at])
 
-    sent = source.mapInArrow(send, "shard int, chunk long, mark long, body binary")
+    sent = source.select("doc_id", "text").mapInArrow(send, "shard int, chunk long, mark long, body binary")
     answered = sent.groupBy("shard").applyInArrow(count, "chunk long, mark long, shard int, answer binary")
     told = source.mapInArrow(again, "chunk long, mark long, rows binary")
     return told.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(meet, schema)
