@@ -1,12 +1,16 @@
-"""Queries over a network derived from the orders table, and the same in SQL."""
+"""Queries over networks derived from the orders and customer tables, and the same in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import crs as proj
 from ..functions import geometry as g
 from ..operators import network as net
+from ..operators import spatial as sp
+from . import clean as plans
+from .config import CleanConfig
 
 P = 5.0
 
@@ -24,6 +28,76 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("fid", "highway", pts.alias("pts"))
 
 
+#: Short lines that cross each other, one for each customer.
+CROSSING = """
+select c_custkey as fid, c_mktsegment as highway, (c_custkey * 37) % 1009 + 0e0 as x0, (c_custkey * 61) % 997 + 0e0 as y0,
+    (c_custkey * 37) % 1009 + ((c_custkey * 7) % 61 - 30) * 1e0 + 0.5e0 as x1, (c_custkey * 61) % 997 + (c_custkey * 11) % 47 + 1.25e0 as y1 from customer
+"""
+#: Two lines for each customer that meet at one end, the second reversed for some; a fourth of the second are long.
+CHAINS = """
+select c_custkey * 2 as fid, c_mktsegment as highway, c_custkey * 1000 + 0e0 as x0, 0e0 as y0, c_custkey * 1000 + 10e0 as x1, 0e0 as y1 from customer
+union all select c_custkey * 2 + 1, case when c_custkey % 3 = 0 then c_mktsegment else c_name end, case when c_custkey % 2 = 0 then c_custkey * 1000 + 10e0 else c_custkey * 1000 + (case when c_custkey % 4 = 0 then 300e0 else 25e0 end) end,
+    case when c_custkey % 2 = 0 then 0e0 else 3e0 end, case when c_custkey % 2 = 0 then c_custkey * 1000 + (case when c_custkey % 4 = 0 then 300e0 else 25e0 end) else c_custkey * 1000 + 10e0 end, case when c_custkey % 2 = 0 then 3e0 else 0e0 end from customer
+"""
+#: A line from each order's node to the next order's, or to nowhere, which ends a component.
+FRAGMENTS = """
+select o_orderkey as fid, o_orderpriority as highway, o_orderkey * 10e0 as x0, 0e0 as y0, case when o_custkey % 3 <> 0 then o_orderkey * 10e0 + 10e0 else o_orderkey * 10e0 + 3e0 end as x1,
+    case when o_custkey % 3 <> 0 then 0e0 else 4e0 end as y1 from orders
+"""
+#: Longitudes and latitudes, one line for each customer.
+WORLD = """
+select c_custkey as fid, c_mktsegment as highway, 12e0 + (c_custkey * 37) % 601 / 100e0 as x0, (c_custkey * 61) % 8009 / 100e0 - 40e0 as y0,
+    12.003e0 + (c_custkey * 37) % 601 / 100e0 as x1, (c_custkey * 61) % 8009 / 100e0 - 39.998e0 as y1 from customer
+"""
+
+
+def _pairs(sql: str, table: str):
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        flat = spark.sql(sql.replace(f"from {table}", "from {table}"), table=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        return flat.select("fid", "highway", F.array(*[g.point(F.col(f"x{i}"), F.col(f"y{i}")) for i in (0, 1)]).alias("pts"))
+
+    return made
+
+
+crossing, chains, fragments, world = _pairs(CROSSING, "customer"), _pairs(CHAINS, "customer"), _pairs(FRAGMENTS, "orders"), _pairs(WORLD, "customer")
+
+
+def snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return net.snap_vertices(lines(spark, sf_dir), P)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second line of the network as one of two parts, cut at its middle."""
+    p = F.col("pts")
+    return lines(spark, sf_dir).select("fid", "highway", F.when(F.col("fid") % 2 == 0, F.array(F.slice(p, 1, 2), F.slice(p, 2, 2))).otherwise(F.array(p)).alias("parts"))
+
+
+def zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four points each; for some the last segment crosses the first."""
+    x, y = F.pmod("fid", F.lit(7)).cast("double"), F.pmod("fid", F.lit(11)).cast("double")
+    p = lambda a, b: g.point(F.lit(a) if not hasattr(a, "cast") else a, F.lit(b) if not hasattr(b, "cast") else b)
+    return lines(spark, sf_dir).select("fid", F.array(p(0.0, 0.0), p(10.0, 0.0), p(10.0, 5.0), p(x + 0.5, y - 4.5)).alias("pts"))
+
+
+def _ends(d: DataFrame, *names: str) -> DataFrame:
+    a, b = g.start(F.col("pts")), g.end(F.col("pts"))
+    return d.select(*names, *[F.round(p[c], 4).alias(f"{c}{i}") for i, p in enumerate((a, b)) for c in "xy"])
+
+
+def _bounds_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("p05", "p50", "l50", "snap_min", "snap_max", "prune_max")
+    return spark.createDataFrame([tuple(round(net.spacing_bounds(lines(spark, sf_dir))[c], 4) for c in names)], ", ".join(f"{c} double" for c in names))
+
+
+def _clean_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a whole cleaning of the fragments, which lie in metres."""
+    features = fragments(spark, sf_dir).select("fid", "highway", F.array("pts").alias("parts"))
+    c = CleanConfig(metric_crs="EPSG:3857", snap_precision=0.5, overlap_tolerance=0.25, simplify_tolerance=0.5, prune_epsilon=0.1, min_component_length=12.0, merge_degree2_nodes=False)
+    r = plans.clean_network(features, "EPSG:3857", c)[1]
+    names = ("input_count", "split_count", "duplicates_removed", "small_components_found", "small_component_features_removed", "output_count", "output_connected_components")
+    return spark.createDataFrame([(*(int(r[n]) for n in names), round(r["output_total_length"], 3))], ", ".join(f"{n} long" for n in names) + ", output_total_length double")
+
+
 def _flat(d: DataFrame) -> DataFrame:
     return d.select("fid", *[F.round(F.col("pts")[k][c], 4).alias(f"{c}{i}") for k, i in enumerate("0m1") for c in "xy"])
 
@@ -32,6 +106,21 @@ def _dedup(keep: str):
     return lambda s, d: net.dedup_edges(lines(s, d), P, keep).select("fid", F.round(g.length(F.col("pts")), 4).alias("length"), "highway")
 
 
+LAEA = "+proj=laea +lat_0=0.000000 +lon_0=15.000000 +datum=WGS84 +units=m +no_defs"
+
+
+def _metres(d: DataFrame) -> DataFrame:
+    p = g.start(F.col("pts"))
+    return d.select("fid", F.round(p["x"], 3).alias("x"), F.round(p["y"], 3).alias("y"))
+
+
+def _round_trip(d: DataFrame) -> DataFrame:
+    """Every supported projection there and back."""
+    for target in ("EPSG:32633", "EPSG:3857", "EPSG:5041", LAEA):
+        d = proj.reproject(proj.reproject(d, "EPSG:4326", target), target, "EPSG:4326")
+    return _ends(d, "fid")
+
+
 QUERIES = {
     "snap_vertices": lambda s, d: _flat(net.snap_vertices(lines(s, d), P)),
     "snap_change_count": lambda s, d: lines(s, d).agg(F.sum(g.moved(F.col("pts"), P)).cast("long").alias("snapped_vertex_changes")),
@@ -40,11 +129,35 @@ QUERIES = {
     "edge_dedup_longest": _dedup("longest"),
     "node_degree": lambda s, d: net.nodes(lines(s, d), P),
     "topology_summary": lambda s, d: net.topology(lines(s, d), P),
-    "vertex_spacing_bounds": lambda s, d: net.spacing_bounds(lines(s, d)).select(*[F.round(c, 4).alias(c) for c in ("p05", "p50", "l50", "snap_min", "snap_max", "prune_max")]),
+    "vertex_spacing_bounds": _bounds_row,
     "prune_short": lambda s, d: net.prune_short(lines(s, d), 110.0).select("fid"),
-    "component_labels": lambda s, d: net.components(lines(s, d), P),
+    "component_labels": lambda s, d: net.components(snapped(s, d)),
     "degree2_nodes": lambda s, d: net.degree2_nodes(lines(s, d)).select(F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "first_fid", "last_fid"),
     "attr_concat": lambda s, d: net.merge_attribute(lines(s, d).withColumn("k", F.col("fid") % 97), "k", "highway"),
+    "explode_parts": lambda s, d: net.explode_parts(parts(s, d)).select("fid", F.col("part").cast("int").alias("part"), "highway", F.round(g.length(F.col("pts")), 4).alias("length")),
+    "node_table": lambda s, d: net.node_table(lines(s, d), P, "EPSG:3857").select("node_id", "ix", "iy", "precision", "degree", F.col("point.x").alias("x"), F.col("point.y").alias("y")),
+    "edge_table": lambda s, d: net.edge_table(lines(s, d), P, "EPSG:3857").select("edge_key", "node_a", "node_b", "feature_count", F.array_join("feature_indices", ",").alias("features"), "highway", F.round("point_a.x", 4).alias("ax"), F.round("point_b.y", 4).alias("by")),
+    "duplicate_edges": lambda s, d: net.duplicates(lines(s, d), P).select(F.col("u.ix").alias("ux"), F.col("u.iy").alias("uy"), F.col("v.ix").alias("vx"), F.col("v.iy").alias("vy"), "feature_count"),
+    "incident_edges": lambda s, d: net.incident_edges(lines(s, d), P, 100, 100).select(F.col("u.ix").alias("ux"), F.col("u.iy").alias("uy"), F.col("v.ix").alias("vx"), F.col("v.iy").alias("vy")),
+    "overlap_pairs": lambda s, d: sp.overlap_pairs(lines(s, d), 0.5, 100.0),
+    "split_points": lambda s, d: sp.intersections(crossing(s, d), 40.0).select("fid", "other", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")),
+    "split_pieces": lambda s, d: _ends(sp.split_at_intersections(crossing(s, d), 40.0), "fid", "piece", "highway"),
+    "near_misses": lambda s, d: sp.near_misses(crossing(s, d), 0.5, 40.0).select("fid_a", "fid_b", F.round("distance", 4).alias("distance"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y")),
+    "degree2_merge": lambda s, d: _ends(sp.merge_degree2(chains(s, d), "concatenate"), "fid", "highway").join(sp.merge_degree2(chains(s, d), "concatenate").select("fid", F.round(g.length(F.col("pts")), 4).alias("length")), "fid"),
+    "degree2_keep_longest": lambda s, d: sp.merge_degree2(chains(s, d), "keep-longest").select("fid", "highway", F.size("pts").alias("n_points")),
+    "degree2_fixpoint": lambda s, d: sp.merge_degree2(fragments(s, d), "keep-first", 1e9, mode="fixpoint").select("fid", F.size("pts").alias("n_points"), F.round(g.length(F.col("pts")), 4).alias("length")),
+    "small_components": lambda s, d: net.remove_small_components(fragments(s, d), 2, 12.0).join(net.components(fragments(s, d)), "fid").select("fid", "component"),
+    "simplify_3pt": lambda s, d: sp.simplify(lines(s, d), 5.0).select("fid", F.size("pts").alias("n_points"), F.round(g.length(F.col("pts")), 4).alias("length")),
+    "interpolate_points": lambda s, d: lines(s, d).select("fid", F.posexplode(g.interpolate(F.col("pts"), F.array(F.lit(0.0), F.lit(0.3), F.lit(1.0)))).alias("k", "p")).select("fid", "k", (F.round("p.x", 4) + 0.0).alias("x"), (F.round("p.y", 4) + 0.0).alias("y")),
+    "line_bounds": lambda s, d: lines(s, d).select("fid", g.bounds(F.col("pts")).alias("b")).select("fid", *[F.round(f"b.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")]),
+    "point_distances": lambda s, d: lines(s, d).select("fid", F.round(g.point_line_distance(g.point(F.lit(1000.0), F.lit(1000.0)), F.col("pts")), 4).alias("distance")),
+    "simple_lines": lambda s, d: zigzag(s, d).select("fid", g.is_simple(F.col("pts")).alias("simple")),
+    "path_dedup": lambda s, d: net.dedup_edges(lines(s, d), P, "first", 2.0).select("fid"),
+    "reproject_utm": lambda s, d: _metres(proj.reproject(world(s, d), "EPSG:4326", "EPSG:32633")),
+    "reproject_mercator": lambda s, d: _metres(proj.reproject(world(s, d), "EPSG:4326", "EPSG:3857")),
+    "reproject_equal_area": lambda s, d: _metres(proj.reproject(world(s, d), "EPSG:4326", LAEA)),
+    "reproject_round_trip": lambda s, d: _round_trip(world(s, d)),
+    "clean_summary": _clean_row,
 }
 
 _N = f"with n as ({NETWORK}), s as (select *, sqrt((xm-x0)*(xm-x0)+(ym-y0)*(ym-y0)) d1, sqrt((x1-xm)*(x1-xm)+(y1-ym)*(y1-ym)) d2, floor(x0/5)::bigint ax, floor(y0/5)::bigint ay, floor(x1/5)::bigint bx, floor(y1/5)::bigint by_ from n), "
@@ -57,6 +170,41 @@ def _dedup_sql(order: str) -> str:
     return _N + f"select fid, round(d1+d2, 4) length, highway from (select *, row_number() over (partition by ux, uy, vx, vy order by {order}) r from e) where r = 1"
 
 
+
+def _utm_sql() -> str:
+    """Krueger's series in SQL, from the same coefficients."""
+    e, steps = repr(proj._E), []
+    steps.append("g as (select fid, radians(x0) - radians(15e0) l, tan(radians(y0)) t from n)")
+    steps.append(f"c as (select fid, l, t * sqrt(1 + s * s) - s * sqrt(1 + t * t) c from (select *, sinh({e} * atanh({e} * t / sqrt(1 + t * t))) s from g))")
+    steps.append("b as (select fid, atan2(c, cos(l)) u, asinh(sin(l) / sqrt(c * c + cos(l) * cos(l))) v from c)")
+    x = " + ".join(f"{c!r} * sin({2 * j} * u) * cosh({2 * j} * v)" for j, c in enumerate(proj._ALPHA, 1))
+    y = " + ".join(f"{c!r} * cos({2 * j} * u) * sinh({2 * j} * v)" for j, c in enumerate(proj._ALPHA, 1))
+    return f"with n as ({WORLD}), {', '.join(steps)} select fid, round(500000 + {proj._R!r} * (v + {y}), 3) x, round({proj._R!r} * (u + {x}), 3) y from b"
+
+
+def _equal_area_sql() -> str:
+    """The equal-area projection about a point of the equator in SQL."""
+    lon, _, _, r, true, pole = proj._equal_area((0.0, 15.0))
+    e, e2 = repr(proj._E), repr(proj._E2)
+    q = f"(1 - {e2}) * (s / (1 - {e2} * s * s) - ln((1 - {e} * s) / (1 + {e} * s)) / (2 * {e}))"
+    return (
+        f"with n as ({WORLD}), a as (select fid, radians(x0) - {lon!r} l, sin(radians(y0)) s from n), b as (select fid, l, {q} / {pole!r} s from a), "
+        f"c as (select *, sqrt(1 - s * s) c from b), d as (select *, {r!r} * sqrt(2 / (1 + c * cos(l))) k from c) select fid, round(k * {true!r} * c * sin(l), 3) x, round(k / {true!r} * s, 3) y from d"
+    )
+
+
+_CUTS = f"""with n as ({CROSSING}), v as (select *, x1 - x0 rx, y1 - y0 ry from n),
+p as (select a.fid fa, b.fid fb, ((b.x0 - a.x0) * b.ry - (b.y0 - a.y0) * b.rx) / (a.rx * b.ry - a.ry * b.rx) t, ((b.x0 - a.x0) * a.ry - (b.y0 - a.y0) * a.rx) / (a.rx * b.ry - a.ry * b.rx) u, a.x0 ax, a.y0 ay, a.rx, a.ry
+    from v a join v b on a.fid < b.fid and abs(a.rx * b.ry - a.ry * b.rx) > 1e-9
+    and least(a.x0, a.x1) <= greatest(b.x0, b.x1) and least(b.x0, b.x1) <= greatest(a.x0, a.x1) and a.y0 <= b.y1 and b.y0 <= a.y1),
+m as (select *, ax + t * rx x, ay + t * ry y from p where t between 0 and 1 and u between 0 and 1), c as (select fa fid, fb other, t, x, y from m union all select fb, fa, u, x, y from m) """
+_FRAGMENT_GROUPS = f"""with n as ({FRAGMENTS}), r as (select *, y1 = 0 as goes, lag(y1 = 0 and x1 = x0 + 10) over (order by fid) as came, lag(fid) over (order by fid) as before from n),
+k as (select *, sum(case when came and before = fid - 1 then 0 else 1 end) over (order by fid) as grp, case when goes then 10e0 else 5e0 end as len from r),
+z as (select *, min(fid) over (partition by grp) as component, count(*) over (partition by grp) as size, sum(len) over (partition by grp) as total from k) """
+_FOOT = "sqrt(power(1000 - ax - t * (bx - ax), 2) + power(1000 - ay - t * (by_ - ay), 2))"
+_SIDE = lambda ax, ay, bx, by, x, y: f"sign(({bx} - {ax}) * ({y} - {ay}) - ({by} - {ay}) * ({x} - {ax}))"
+_KEY = "{0}x || ':' || {0}y || ':EPSG:3857:5.0'"
+
 ORACLES = {
     "snap_vertices": _N + "select fid, " + ", ".join(f"round({_SNAP.format(c)}, 4) {c}" for c in ("x0", "y0", "xm", "ym", "x1", "y1")) + " from n",
     "snap_change_count": _N + "select sum(" + " + ".join(f"(greatest(abs({x}-{_SNAP.format(x)}), abs({y}-{_SNAP.format(y)})) > 1e-10)::int" for x, y in (("x0", "y0"), ("xm", "ym"), ("x1", "y1"))) + ")::bigint snapped_vertex_changes from n",
@@ -69,4 +217,31 @@ ORACLES = {
     "prune_short": _N + "select fid from s where d1+d2 >= 110",
     "degree2_nodes": _N + ", o as (select fid, x0 x, y0 y from n union all select fid, x1, y1 from n) select round(x, 4) x, round(y, 4) y, min(fid) first_fid, max(fid) last_fid from o group by o.x, o.y having count(*) = 2",
     "attr_concat": _N + ", f as (select fid % 97 k, highway, min(fid) m from n group by 1, 2) select k, string_agg(highway, ',' order by m) highway from f group by k",
+    "component_labels": f"with recursive n as ({NETWORK}), e as (select fid, floor(x0/5)::bigint * 1000000 + floor(y0/5)::bigint a, floor(x1/5)::bigint * 1000000 + floor(y1/5)::bigint b from n), l as (select distinct a, b from e union select distinct b, a from e), f as (select node, min(fid) m from (select a node, fid from e union all select b, fid from e) group by node), r as (select node, m from f union select l.b, r.m from r join l on l.a = r.node join f on f.node = l.b where r.m < f.m), k as (select node, min(m) m from r group by node) select e.fid, least(x.m, y.m) component from e join k x on x.node = e.a join k y on y.node = e.b",
+    "explode_parts": _N + "select fid, 0::int part, highway, round(case when fid % 2 = 0 then d1 else d1 + d2 end, 4) length from s union all select fid, 1::int, highway, round(d2, 4) from s where fid % 2 = 0",
+    "node_table": _N + _DEG + "select ix || ':' || iy || ':EPSG:3857:5.0' node_id, ix, iy, 5e0 as precision, degree, (ix + 0.5e0) * 5e0 x, (iy + 0.5e0) * 5e0 y from q",
+    "edge_table": _N + f", k as (select ux, uy, vx, vy, count(*) feature_count, string_agg(fid::varchar, ',' order by fid) features, arg_min(highway, fid) highway from e group by all) select {_KEY.format('u')} || ' <-> ' || {_KEY.format('v')} edge_key, {_KEY.format('u')} node_a, {_KEY.format('v')} node_b, feature_count, features, highway, round((ux + 0.5e0) * 5e0, 4) ax, round((vy + 0.5e0) * 5e0, 4) \"by\" from k",
+    "duplicate_edges": _N + "select ux, uy, vx, vy, count(*) feature_count from e group by all having count(*) > 1",
+    "incident_edges": _N + "select distinct ux, uy, vx, vy from e where (ux = 100 and uy = 100) or (vx = 100 and vy = 100)",
+    "overlap_pairs": _N + ", b as (select fid, d1 + d2 len, least(x0, xm, x1) - 0.5e0 a0, greatest(x0, xm, x1) + 0.5e0 a1, least(y0, ym, y1) - 0.5e0 b0, greatest(y0, ym, y1) + 0.5e0 b1, floor(least(x0, xm, x1) / 400) c from s), w as (select *, unnest([c - 1, c, c + 1]) d from b) select p.fid fid_a, q.fid fid_b from b p join w q on p.c = q.d and p.fid < q.fid and p.a0 <= q.a1 and q.a0 <= p.a1 and p.b0 <= q.b1 and q.b0 <= p.b1 where least(p.len, q.len) / greatest(p.len, q.len) >= 0.5",
+    "split_points": _CUTS + "select fid, other, round(x, 4) x, round(y, 4) y from c",
+    "split_pieces": _CUTS + ", i as (select fid, round(x, 6) kx, round(y, 6) ky, arg_min(x, t) x, arg_min(y, t) y, min(t) t from c group by 1, 2, 3), w as (select i.fid, i.t, i.x, i.y from i join v using (fid) where sqrt(power(i.x - x0, 2) + power(i.y - y0, 2)) > 1e-6 and sqrt(power(i.x - x1, 2) + power(i.y - y1, 2)) > 1e-6 union all select fid, -1, x0, y0 from n union all select fid, 2, x1, y1 from n), o as (select fid, x, y, lead(x) over k nx, lead(y) over k ny, (row_number() over k - 1)::int piece from w window k as (partition by fid order by t)) select fid, piece, highway, round(x, 4) x0, round(y, 4) y0, round(nx, 4) x1, round(ny, 4) y1 from o join n using (fid) where nx is not null",
+    "degree2_merge": f"with n as ({CHAINS}), m as (select a.fid, b.fid g, a.highway h, b.highway i, a.x0, a.y0, case when b.x0 = a.x1 then b.x1 else b.x0 end x1, case when b.x0 = a.x1 then b.y1 else b.y0 end y1, a.x1 - a.x0 d, sqrt(power(b.x1 - b.x0, 2) + power(b.y1 - b.y0, 2)) e from n a join n b on b.fid = a.fid + 1 where a.fid % 2 = 0), k as (select *, greatest(d, e) / least(d, e) <= 10 as good from m) select fid, case when h = i then h else h || '; ' || i end highway, round(x0, 4) x0, round(y0, 4) y0, round(x1, 4) x1, round(y1, 4) y1, round(d + e, 4) length from k where good union all select n.fid, n.highway, round(n.x0, 4), round(n.y0, 4), round(n.x1, 4), round(n.y1, 4), round(sqrt(power(n.x1 - n.x0, 2) + power(n.y1 - n.y0, 2)), 4) from n join k on (n.fid = k.fid or n.fid = k.g) and not good",
+    "degree2_keep_longest": f"with n as ({CHAINS}), m as (select a.fid, b.fid g, a.highway h, b.highway i, a.x1 - a.x0 d, sqrt(power(b.x1 - b.x0, 2) + power(b.y1 - b.y0, 2)) e from n a join n b on b.fid = a.fid + 1 where a.fid % 2 = 0), k as (select *, greatest(d, e) / least(d, e) <= 10 as good from m) select fid, case when d >= e then h else i end highway, 3::int n_points from k where good union all select n.fid, n.highway, 2::int from n join k on (n.fid = k.fid or n.fid = k.g) and not good",
+    "degree2_fixpoint": _FRAGMENT_GROUPS + "select component fid, (size + 1)::int n_points, round(total, 4) length from z where fid = component",
+    "small_components": _FRAGMENT_GROUPS + "select fid, component from z where size >= 2 and total >= 12",
+    "simplify_3pt": _N + ", h as (select *, greatest(0, least(1, ((xm-x0)*(x1-x0)+(ym-y0)*(y1-y0)) / (power(x1-x0, 2)+power(y1-y0, 2)))) t from s), w as (select *, sqrt(power(xm-x0-t*(x1-x0), 2)+power(ym-y0-t*(y1-y0), 2)) > 5 k from h) select fid, case when k then 3 else 2 end::int n_points, round(case when k then d1+d2 else sqrt(power(x1-x0, 2)+power(y1-y0, 2)) end, 4) length from w",
+    "interpolate_points": _N + ", f as (select *, unnest([0, 1, 2]) k from s), h as (select *, case k when 0 then 0e0 when 1 then 0.3e0 else 1e0 end * (d1+d2) goal from f) select fid, k::int k, round(case when goal < d1 then x0 + goal / d1 * (xm-x0) else xm + (goal-d1) / d2 * (x1-xm) end, 4) + 0e0 x, round(case when goal < d1 then y0 + goal / d1 * (ym-y0) else ym + (goal-d1) / d2 * (y1-ym) end, 4) + 0e0 y from h",
+    "line_bounds": _N + "select fid, round(least(x0, xm, x1), 4) x0, round(least(y0, ym, y1), 4) y0, round(greatest(x0, xm, x1), 4) x1, round(greatest(y0, ym, y1), 4) y1 from n",
+    "point_distances": _N + f", o as (select fid, x0 ax, y0 ay, xm bx, ym by_ from n union all select fid, xm, ym, x1, y1 from n), h as (select *, greatest(0, least(1, ((1000-ax)*(bx-ax)+(1000-ay)*(by_-ay)) / (power(bx-ax, 2)+power(by_-ay, 2)))) t from o) select fid, round(min({_FOOT}), 4) distance from h group by fid",
+    "simple_lines": f"with n as ({NETWORK}), p as (select fid, fid % 7 + 0.5e0 x, fid % 11 - 4.5e0 y from n) select fid, not ({_SIDE('0', '0', '10', '0', '10', '5')} * {_SIDE('0', '0', '10', '0', 'x', 'y')} < 0 and {_SIDE('10', '5', 'x', 'y', '0', '0')} * {_SIDE('10', '5', 'x', 'y', '10', '0')} < 0) simple from p",
+    "reproject_utm": _utm_sql(),
+    "reproject_mercator": f"with n as ({WORLD}) select fid, round(radians(x0) * 6378137e0, 3) x, round(ln(tan(radians(y0) / 2 + pi() / 4)) * 6378137e0, 3) y from n",
+    "reproject_equal_area": _equal_area_sql(),
+    "reproject_round_trip": f"with n as ({WORLD}) select fid, round(x0, 4) x0, round(y0, 4) y0, round(x1, 4) x1, round(y1, 4) y1 from n",
+    "near_misses": f"with n as ({CROSSING}), v as (select *, x1 - x0 rx, y1 - y0 ry, least(x0, x1) - 0.5 lx, greatest(x0, x1) + 0.5 hx, y0 - 0.5 ly, y1 + 0.5 hy from n), p as (select a.fid fa, b.fid fb, a.x0 ax, a.y0 ay, a.x1 ex, a.y1 ey, a.rx, a.ry, b.x0 bx, b.y0 by_, b.x1 fx, b.y1 fy, b.rx sx, b.ry sy from v a join v b on a.fid < b.fid and a.lx <= b.hx and b.lx <= a.hx and a.ly <= b.hy and b.ly <= a.hy), "
+    f"c as (select * from p where not ({_SIDE('ax', 'ay', 'ex', 'ey', 'bx', 'by_')} * {_SIDE('ax', 'ay', 'ex', 'ey', 'fx', 'fy')} < 0 and {_SIDE('bx', 'by_', 'fx', 'fy', 'ax', 'ay')} * {_SIDE('bx', 'by_', 'fx', 'fy', 'ex', 'ey')} < 0)), "
+    "e as (select *, greatest(0, least(1, ((px - bx) * sx + (py - by_) * sy) / (sx * sx + sy * sy))) t from (select fa, fb, bx, by_, sx, sy, ax px, ay py from c union all select fa, fb, bx, by_, sx, sy, ex, ey from c union all select fa, fb, ax, ay, rx, ry, bx, by_ from c union all select fa, fb, ax, ay, rx, ry, fx, fy from c)), "
+    "d as (select fa, fb, bx + t * sx qx, by_ + t * sy qy, px, py, sqrt(power(px - bx - t * sx, 2) + power(py - by_ - t * sy, 2)) d from e) select fa fid_a, fb fid_b, round(min(d), 4) distance, round(arg_min((px + qx) / 2, d), 3) x, round(arg_min((py + qy) / 2, d), 3) y from d group by fa, fb having min(d) <= 0.5 and min(d) > 0",
+    "clean_summary": _FRAGMENT_GROUPS + "select count(*) input_count, 0::bigint split_count, 0::bigint duplicates_removed, count(distinct grp) filter (total < 12) small_components_found, count(*) filter (total < 12) small_component_features_removed, count(*) filter (total >= 12) output_count, count(distinct grp) filter (total >= 12) output_connected_components, round(sum(len) filter (total >= 12), 3) output_total_length from z",
 }

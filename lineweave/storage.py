@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_top() -> str:
+    """Of a session without a cluster: a folder of this process, removed at its end."""
+    top = tempfile.mkdtemp(prefix="lineweave-")
+    atexit.register(shutil.rmtree, top, ignore_errors=True)
+    return top
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not top:
-        top = "/tmp/checkpoints"  # only where the cluster names none, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = _local_top()
     return f"{top.rstrip('/')}/lineweave-{uuid.uuid4().hex}"
 
 
