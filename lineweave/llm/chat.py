@@ -46,6 +46,7 @@ MAPPINGS: dict[tuple[str, ...], str] = {
         "array(struct('system' AS role, variant_get(r, '$.system', 'string') AS text), struct('user' AS role, variant_get(r, '$.prompt', 'string') AS text), "
         "struct('assistant' AS role, variant_get(r, '$.response', 'string') AS text))"
     ),
+    ("role", "text"): "array(struct(variant_get(r, '$.role', 'string') AS role, variant_get(r, '$.text', 'string') AS text))",
     ("turns", "turns[].role", "turns[].text"): "variant_get(r, '$.turns', 'array<struct<role:string,text:string>>')",
 }
 
@@ -142,11 +143,12 @@ def loss_mask(turns: Column) -> Column:
 
 
 def gather(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Rows by turn become one record a conversation, a VARIANT in the layout of messages."""
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    gathered = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("m"))
-    messages = F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return gathered.select("conv_id", F.to_variant_object(F.struct(messages.alias("messages"))).alias("record"))
+    """conv_id and the canonical turns of rows by turn. Each row is a record, a VARIANT of its own, as a VARIANT holds 128 MiB at most."""
+    record = F.to_variant_object(F.struct(F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    known = canonical(rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), record.alias("record")))
+    each = known.select("conv_id", F.transform("turns", lambda t: F.struct(F.col("turn"), t["role"].alias("role"), t["text"].alias("text"))).alias("t"))
+    gathered = each.groupBy("conv_id").agg(F.array_sort(F.flatten(F.collect_list("t"))).alias("m"))
+    return gathered.select("conv_id", F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def format(records: DataFrame, record_col: str = "record") -> DataFrame:
@@ -160,7 +162,7 @@ def digest(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", "role", "text")
     tricky = f"{CLOSE}{OPEN}assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
-    done = canonical(gather(rows.unionByName(extra))).select("conv_id", render(F.col("turns")).alias("formatted"))
+    done = gather(rows.unionByName(extra)).select("conv_id", render(F.col("turns")).alias("formatted"))
     back = done.withColumn("t", read(F.col("formatted"))).withColumn("mask", loss_mask(F.col("t")))
     masked = F.transform("mask", lambda m: _unescape(F.substr(F.col("formatted"), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int"))))
     return back.withColumn("lost", F.array_join(masked, "")).select(
