@@ -17,7 +17,8 @@ stays whole.
 Subtrees that markup names as something else than the article are cut before
 anything is counted: elements that never hold it (TAGS), hidden ones, and, as
 far as they do not hold the article (`_cut`), page parts (PARTS) and those whose
-class, id or role has one of NAMES as a whole token.
+class, id or role has one of NAMES as a whole token. An element of running text, a
+paragraph of class "share", say, is cut for one of SURE alone, or if it is mostly links.
 
 Defined results: a null or empty page, or one without text, gives an empty text;
 white space within a block becomes one space, and blocks are joined, in page
@@ -46,6 +47,10 @@ NAMES = frozenset(
     "footer header masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations trending comment comments commentlist disqus respond replies pagination pager toolbar widget skip hidden search complementary contentinfo".split()
 )
+#: Of these, the ones that say enough about a paragraph or a word; the others may describe the text in it.
+SURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent newsletter subscribe subscription pagination pager breadcrumb breadcrumbs skip hidden".split())
+#: Elements that hold running text and no parts of a page.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meta q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
@@ -68,11 +73,12 @@ _HIDDEN = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["
 
 
 class Tree:
-    """Nodes in page order as parallel lists; children come after their parent. items: of each node, its children and texts in order; cut: never read; doubted: cut unless it holds the article."""
+    """Nodes in page order as parallel lists; children come after their parent. items: of each node, its children and texts in order; cut: never read; doubted: cut unless it holds the article; linked: cut if mostly links."""
 
     def __init__(self, page: str):
         self.tag, self.parent, self.cut, self.doubted = ["html"], [-1], [False], [False]
         self.items: list[list] = [[]]
+        self.linked: list[int] = []
         self._open = [0]
         at = 0
         while at < len(page):
@@ -124,7 +130,13 @@ class Tree:
         cut, doubted = name in TAGS, name in PARTS
         if not cut and attributes and name not in ("body", "article", "main"):
             cut = bool(_HIDDEN.search(attributes))
-            doubted = doubted or any(not NAMES.isdisjoint(x.strip("\"'").lower().split()) for x in _NAMED.findall(attributes))
+            tokens = {w for x in _NAMED.findall(attributes) for w in x.strip("\"'").lower().split()}
+            if name in TEXTUAL or name in INLINE:
+                doubted = not tokens.isdisjoint(SURE)
+                if not doubted and not tokens.isdisjoint(NAMES):
+                    self.linked.append(len(self.tag))
+            else:
+                doubted = doubted or not tokens.isdisjoint(NAMES)
         i, up = len(self.tag), self._open[-1]
         self.tag.append(name)
         self.parent.append(up)
@@ -150,7 +162,7 @@ def _cut(t: Tree) -> None:
     One is kept if it has most of the body's characters outside links, unless an article or main with text stands apart
     from it; and if it holds an article or main with text and none stands outside doubted nodes.
     """
-    if not any(t.doubted):
+    if not any(t.doubted) and not t.linked:
         return
     n = len(t.tag)
     text, linked, named = [0] * n, [0] * n, [False] * n
@@ -165,6 +177,8 @@ def _cut(t: Tree) -> None:
             text[up] += text[i]
             linked[up] += linked[i]
             named[up] = named[up] or named[i] or (t.tag[i] in ("article", "main") and text[i] > 0)
+    for i in t.linked:
+        t.cut[i] = t.cut[i] or 2 * linked[i] > text[i]
     inside, under = [False] * n, [False] * n  # in an article or main; in or at a doubted node
     under[0] = t.doubted[0]
     apart = False
@@ -179,11 +193,8 @@ def _cut(t: Tree) -> None:
         t.cut[i] = t.cut[i] or t.cut[t.parent[i]] or (t.doubted[i] and not most and not (named[i] and not apart))
 
 
-def extract(page: str | None) -> str:
-    if not page:
-        return ""
-    t = Tree(page)
-    _cut(t)
+def densities(t: Tree) -> tuple[list[int], list[int], list[float], list[float], int]:
+    """Of each node the characters, those in links, the composite text density and the sum of its children's; and the body's place, -1 without text."""
     n = len(t.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
@@ -198,21 +209,33 @@ def extract(page: str | None) -> str:
             tags[up] += tags[i] + 1
             link_chars[up] += link_chars[i]
             link_tags[up] += link_tags[i]
+    density, total = [0.0] * n, [0.0] * n
     body = next((i for i in range(n) if t.tag[i] == "body"), 0)
     if not chars[body]:
         body = 0
     if not chars[body]:
-        return ""
+        return chars, link_chars, density, total, -1
     share = link_chars[body] / chars[body]
-    density, total = [0.0] * n, [0.0] * n
     for i in range(n - 1, -1, -1):
         c = chars[i]
         if c:
             lc, lt, tg = max(1, link_chars[i]), max(1, link_tags[i]), max(1, tags[i])
             base = math.log(c / max(1, c - link_chars[i]) * link_chars[i] + share * c + math.e)
-            density[i] = c / tg * math.log(max(1.0, c / lc * tg / lt)) / math.log(base) if base > 1.0000001 else c / tg * math.log(max(1.0, c / lc * tg / lt))
+            density[i] = c / tg * math.log(max(1.0, c / lc * tg / lt)) / (math.log(base) if base > 1.0000001 else 1.0)
             if i:
                 total[t.parent[i]] += density[i]
+    return chars, link_chars, density, total, body
+
+
+def extract(page: str | None) -> str:
+    if not page:
+        return ""
+    t = Tree(page)
+    _cut(t)
+    n = len(t.tag)
+    chars, link_chars, density, total, body = densities(t)
+    if body < 0:
+        return ""
     best = max(range(n), key=lambda i: (total[i], -i)) if any(total) else body
     path, i = [best], best
     while i != body and t.parent[i] >= 0:
