@@ -34,3 +34,9 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a private key, and its name: written, so that every later read sees the same keys, also after executors are lost."""
+    name = unused(df, "row_key")
+    return written(df.withColumn(name, F.monotonically_increasing_id())), name

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session, written
+from .common import keyed, session, unused, written
 
 #: Slices of each (source, size class); a slice is what one task orders.
 SLICES = 256
@@ -88,15 +88,16 @@ def copies(docs: DataFrame, source_col: str = "source", text_col: str = "text",
     return numbered.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.ceil("each")).cast("long").alias("copies"), *own)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", row_col: str | None = None, **options) -> DataFrame:
-    """The documents themselves, each as often as it is taken, with all their columns.
+def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents themselves, each as often as it is taken, with all their columns, whatever their names.
 
-    Rows are matched by row_col, which must be unique. Without it they are matched by id, so ids must then be unique: a
-    repeated id would be matched with each of its rows.
+    Rows are matched by a private key, so null and repeated ids are rows of their own.
     """
-    taken = copies(docs, id_col=id_col, row_col=row_col, **options).filter("copies > 0").select(F.col(row_col or "doc_id").alias("__id"), "copies")
-    joined = docs.join(taken, F.col(f"`{row_col or id_col}`").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered, key = keyed(docs)
+    at, times, copy = unused(numbered, "taken_key"), unused(numbered, "copies"), unused(numbered, "copy")
+    taken = copies(numbered, id_col=id_col, row_col=key, **options).filter("copies > 0").select(F.col(key).alias(at), F.col("copies").cast("int").alias(times))
+    joined = numbered.join(taken, F.col(key) == F.col(at))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

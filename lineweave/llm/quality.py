@@ -13,6 +13,7 @@ row; an empty table gives an empty ledger; other columns are ignored by
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .common import ids_and_text, session
+from .common import ids_and_text, session, unused
 
 #: name, and the failure test as SQL over the measurements. All in whole numbers. A rule's bit is its place here.
 RULES: tuple[tuple[str, str], ...] = (
@@ -126,7 +127,7 @@ def verdict(failed: Column, policy: str) -> Column:
 def apply_policy(docs: DataFrame, policy: str = "v2", text_col: str = "text") -> DataFrame:
     """The rows that a policy keeps, with all their columns; one pass, no join."""
     session(docs)
-    names = [f"__{m}" for m in MEASURES]
+    names = [unused(docs, f"__{m}") for m in MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in ts.pieces(batches, text_col):
@@ -135,16 +136,12 @@ def apply_policy(docs: DataFrame, policy: str = "v2", text_col: str = "text") ->
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
     renamed = docs.mapInArrow(run, schema)
-    bits = F.expr(" | ".join(f"IF({_prefixed(test)}, {1 << i}L, 0L)" for i, (_, test) in enumerate(RULES)))
+    named = dict(zip(MEASURES, names, strict=True))
+    test = lambda t: re.sub(r"[a-z_]+", lambda m: f"`{named[m[0]]}`" if m[0] in named else m[0], t)
+    bits = F.expr(" | ".join(f"IF({test(t)}, {1 << i}L, 0L)" for i, (_, t) in enumerate(RULES)))
     return renamed.filter(verdict(bits, policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _prefixed(test: str) -> str:
-    for m in MEASURES:
-        test = test.replace(m, f"__{m}")
-    return test
-
-
 def ablations(book: DataFrame, policy: str = "v2") -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail it alone (and so come back without it), and all that the policy rejects.
 

@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import math
 import re
 
@@ -193,6 +194,79 @@ def test_html_still_cuts_what_stands_beside_an_article(part):
     assert html.extract(f"<body><article><p>{_STORY}</article>{part.format('other ' * 200)}</body>") == _STORY
 
 
+@pytest.mark.parametrize("name", ["class=share", "id=search", 'class="x comment"', "class=alert"])
+@pytest.mark.parametrize("tag", ["p", "h2", "li", "span", "blockquote"])
+def test_html_keeps_text_whatever_its_class(tag, name):
+    page = f"<body><article><p>{_STORY}</p><{tag} {name}>Share prices fell sharply</{tag}><p>the end</article></body>"
+    assert html.extract(page) == f"{_STORY} Share prices fell sharply the end"
+    links = f"<{tag} {name}><a href=/a>Share this page now</a> <a href=/b>Print</a></{tag}>"
+    assert html.extract(f"<body><article><p>{_STORY}</p>{links}<p>the end</article></body>") == f"{_STORY} the end"
+
+
+def test_html_density_chooses_among_articles():
+    teasers = "".join(f'<article><h3><a href="/{k}">Elsewhere {k} in the news today</a></h3></article>' for k in range(9))
+    assert html.extract(f"<body><div>{teasers}</div><div><article><p>{_STORY}</p><p>{_STORY}</p></article></div><div>{teasers}</div></body>") == f"{_STORY} {_STORY}"
+
+
+def test_html_densities_equal_brute_force():
+    r = np.random.default_rng(4)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            return "text " * int(r.integers(0, 30))
+        name = ("div", "section", "a", "ul", "b")[r.integers(5)]
+        return f"<{name}>{''.join(tree(depth - 1) for _ in range(r.integers(1, 4)))}</{name}>"
+
+    for _ in range(40):
+        t = html.Tree(f"<body>{tree(4)}{tree(3)}</body>")
+        chars, links, density, total, body = html.densities(t)
+        below = lambda i: [i] + [x for k in t.items[i] if not isinstance(k, str) for x in below(k)]  # noqa: B023, E731
+        inside = lambda i: any(t.tag[k] == "a" for k in up(i))  # noqa: B023, E731
+        up = lambda i: [i, *up(t.parent[i])] if i >= 0 else []  # noqa: B023, E731
+        count = lambda some: sum(len(x.strip()) for i in some for x in t.items[i] if isinstance(x, str))  # noqa: B023, E731
+
+        def parts(i):
+            some = below(i)  # noqa: B023
+            linked = [k for k in some if any(t.tag[x] == "a" for x in up(k) if x >= i)]  # noqa: B023
+            return count(some), len(some) - 1, count(linked), len(linked)
+
+        whole = parts(body) if body >= 0 else None
+        for i in range(len(t.tag)):
+            c, tg, lc, lt = parts(i)
+            assert (chars[i], links[i]) == (c, lc)
+            if body < 0 or not c:
+                assert density[i] == 0
+                continue
+            base = math.log(c / max(1, c - lc) * lc + whole[2] / whole[0] * c + math.e)
+            want = c / max(1, tg) * math.log(max(1.0, c / max(1, lc) * max(1, tg) / max(1, lt))) / (math.log(base) if base > 1.0000001 else 1.0)
+            assert density[i] == pytest.approx(want)
+            assert total[i] == pytest.approx(sum(density[k] for k in t.items[i] if not isinstance(k, str)))
+
+
+def test_chat_canonical_layouts(spark):
+    two = [("user", "q"), ("assistant", "r")]
+    records = [
+        '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "r"}]}', '{"messages": [{"role": "user", "text": "q"}, {"role": "assistant", "text": "r"}]}',
+        '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r"}]}', '{"prompt": "q", "completion": "r"}', '{"prompt": "q", "response": "r"}', '{"question": "q", "answer": "r"}',
+        '{"instruction": "q", "output": "r"}', '{"instruction": "q", "input": "", "output": "r"}', '{"turns": [{"role": "user", "text": "q"}, {"role": "assistant", "text": "r"}]}',
+    ]
+    records += ['{"system": "s", "prompt": "q", "response": "r"}', '{"role": "user", "text": null}', '{"instruction": "q", "input": "i", "output": "r"}']
+    d = spark.createDataFrame(list(enumerate(records)), "id int, record string")
+    got = {r.id: [tuple(t) for t in r.turns] for r in chat.canonical(d).collect()}
+    assert all(got[i] == two for i in range(9)) and got[9] == [("system", "s"), *two] and got[10] == [("user", "")] and got[11] == [("user", "q\n\ni"), ("assistant", "r")]
+
+
+def test_secrets_equal_the_rules_run_directly(spark):
+    r = np.random.default_rng(7)
+    bits = ["token", "SECRET", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH1234", "deadbeef" * 4, "0af9", "passwd=", "é", "\n", "Zm9vYmFy+/=", "x"]
+    texts = ["".join(bits[k] for k in r.integers(0, len(bits), r.integers(1, 40))) for _ in range(400)]
+    rules = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile(r"[0-9a-f]+"), 0, 32)]
+    for row in secrets.digest(_docs(spark, *texts)).collect():
+        found = [(m.start(), place, f"{kind}:{m.start()}:{m.end()}") for place, (kind, rule, group, least) in enumerate(rules) for m in rule.finditer(texts[row.doc_id]) if len(m[group]) >= least]
+        assert row.base_sha256 == hashlib.sha256(",".join(x for _, _, x in sorted(found)).encode()).hexdigest()
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(p == k for _, p, _ in found) for k in range(3)]
+
+
 def test_lm_scores_tell_words_apart_that_share_32_bits_and_a_shard(spark):
     shards = lookup.shards_for(_docs(spark, "x"))
     words = [f"q{i}" for i in range(1_500_000)]
