@@ -23,12 +23,17 @@ from pyspark.sql import DataFrame
 from . import textscan as ts
 from .common import ids_and_text, session
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES, SHARD_BYTES = 3 << 20, 64 << 20
 
 
 def shards_for(df: DataFrame) -> int:
-    """Shards follow the session's shuffle partitions, which follow the input's size."""
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Twice the session's shuffle partitions, or one for each SHARD_BYTES of the documents as Spark estimates them, if that is more.
+
+    The estimate of a plan with joins can be far too high, so it counts up to 64 times the partitions.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(2 * partitions, -(-size // SHARD_BYTES)), 64 * partitions)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:

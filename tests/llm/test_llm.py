@@ -283,6 +283,17 @@ def test_lm_scores_tell_words_apart_that_share_32_bits_and_a_shard(spark):
     assert sorted(map(tuple, lm.digest(_docs(spark, *texts)).collect())) == want
 
 
+def test_lm_scores_do_not_depend_on_the_number_of_shards(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    docs = _docs(spark, *[" ".join(f"w{k}" for k in r.integers(0, 60, 80)) for _ in range(40)], None, "")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for shards in (1, 5, 64):
+        monkeypatch.setattr(lookup, "shards_for", lambda d, n=shards: n)
+        seen.append(sorted(map(tuple, lm.digest(docs).collect())))
+    assert seen[0] == seen[1] == seen[2]
+    assert lookup.shards_for(docs) == 64 and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_empty_tables(spark):
     d = _docs(spark, "x").limit(0)
     for f in (bpe.digest, secrets.digest, quality.digest, mixing.digest, jaccard.digest, lm.digest):
