@@ -86,7 +86,8 @@ def _ends(d: DataFrame, *names: str) -> DataFrame:
 
 def _bounds_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("p05", "p50", "l50", "snap_min", "snap_max", "prune_max")
-    return spark.createDataFrame([tuple(round(net.spacing_bounds(lines(spark, sf_dir))[c], 4) for c in names)], ", ".join(f"{c} double" for c in names))
+    found = net.spacing_bounds(lines(spark, sf_dir))
+    return spark.createDataFrame([tuple(round(found[c], 4) for c in names)], ", ".join(f"{c} double" for c in names))
 
 
 def _clean_row(spark: SparkSession, sf_dir: str) -> DataFrame:
