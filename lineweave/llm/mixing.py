@@ -7,9 +7,9 @@ crosses on it. The order goes by size class, so short and long documents are
 taken evenly and a source's words come near its target.
 
 The running sum is the document's place times the expected copies. The place
-comes from counts of small slices of a source (size class, hash of the id) plus
-the place within the slice, so a source that holds most rows is spread over all
-tasks; no window spans a source.
+comes from counts of small slices of a source (size class, hash of the id and the text)
+plus the place within the slice, so a source that holds most rows is spread over
+all tasks, also where many rows share an id or have none; no window spans a source.
 
 Defined results: a null text has size 0; a source of size 0 has target 0 and
 nothing is taken; a null source is one source, weighed last; equal documents and
@@ -57,20 +57,25 @@ def _offset(seed: int):
     return F.pmod(F.xxhash64(F.col("source"), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
 
-def copies(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), seed: int = 1, row_col: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: one row per document. row_col: a unique column to keep, which orders rows that share an id."""
-    own = [row_col] if row_col else []
-    session(docs)
+def _sliced(docs: DataFrame, source_col: str, text_col: str, id_col: str, seed: int, own: list[str]) -> DataFrame:
+    """doc_id, source, size, h, class, slice of each document, and the columns `own`."""
     # written, as three steps follow from it and the words of a text are counted once
     sized = written(docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("h"),
         *own,
     ))
-    h = F.xxhash64("doc_id", F.lit(seed))
     # eight classes an octave
-    sized = sized.select("*", F.floor(F.log2(F.col("size") + 1) * 8).cast("int").alias("class"), h.alias("h"), F.pmod(h, F.lit(SLICES)).cast("int").alias("slice"))
+    return sized.select("*", F.floor(F.log2(F.col("size") + 1) * 8).cast("int").alias("class"), F.pmod("h", F.lit(SLICES)).cast("int").alias("slice"))
+
+
+def copies(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), seed: int = 1, row_col: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies: one row per document. row_col: a unique column to keep, which orders rows that share an id."""
+    own = [row_col] if row_col else []
+    session(docs)
+    sized = _sliced(docs, source_col, text_col, id_col, seed, own)
     slices = sized.groupBy("source", "class", "slice").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     classes = slices.groupBy("source", "class").agg(F.sum("n").alias("class_n"), F.sum("size").alias("class_size"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

@@ -62,3 +62,10 @@ def test_sampling_equals_brute_force(spark):
         assert len(mine) == sum(x == s for _, _, x in rows) and all(abs(r.target - target[s]) < 1e-6 and r.source_size == size[s] for r in mine)
         assert {r.copies for r in mine} <= {int(each), int(each) + 1} and abs(sum(r.copies for r in mine) - each * len(mine)) <= 1
         assert abs(sum(r.copies * r.size for r in mine) - target[s]) <= 2 * 23
+
+
+def test_rows_without_an_id_are_spread_over_slices(spark):
+    rows = [(None, f"w{i} w", "a") for i in range(600)]
+    found = mixing._sliced(_docs(spark, *rows), "source", "text", "doc_id", 1, []).groupBy("source", "class", "slice").count().collect()
+    assert sum(r["count"] for r in found) == 600 and max(r["count"] for r in found) <= 20
+    assert len(mixing.copies(_docs(spark, *rows)).collect()) == 600
