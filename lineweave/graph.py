@@ -48,40 +48,34 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(*(np.concatenate([x.column(i).to_numpy() for x in held]).tolist() for i in (0, 1)))
 
 
-def _star(pairs: DataFrame, small: bool) -> DataFrame:
-    """pairs: (u, v), both ways for a large star, v < u for a small one. Edges to each u's least neighbour."""
-    # written, so that both sides of the join are exchanged and a hub's rows can be dealt to several tasks
-    least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-    joined = pairs.join(least, "u")
-    if small:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    else:
-        out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.filter("u <> v").distinct()
+def _labels(edges: DataFrame) -> DataFrame:
+    """id, lo, hi: of each node the least and the greatest of its lesser neighbours, and of itself if it has a greater one."""
+    ends = F.array(F.struct(F.col("u").alias("id"), "v"), F.struct(F.col("v").alias("id"), "v"))
+    return edges.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(id, component) of every node that has an edge to another; component is the least id in reach.
 
     Kiveris et al., "Connected Components in MapReduce and Beyond" (2014): rounds grow
-    with the logarithm of the longest path, which each task first shortens among its own
-    edges. Loops, nulls and repeated edges are ignored; ids are whole numbers.
+    with the logarithm of the longest path, which each task shortens among its own edges,
+    so that a remainder which one task holds is done at once. It ends when every node has
+    one label, its own or that of its only neighbour. Loops, nulls and repeated edges are
+    ignored; ids are whole numbers.
     """
     ship(edges.sparkSession)
+    local = lambda d: d.distinct().mapInArrow(lambda x: _local(x), "u long, v long")
     both = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter(f"{a} IS NOT NULL AND {b} IS NOT NULL AND u <> v")
-    now = written(both.mapInArrow(lambda x: _local(x), "u long, v long").distinct())
-    sums = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    seen = sums(now)
+    now = written(local(both.mapInArrow(lambda x: _local(x), "u long, v long")))
     for _ in range(most_rounds):
-        if not seen["n"]:
-            break
-        large = _star(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), small=False)
-        now = written(_star(written(large), small=True))
-        got = sums(now)
-        if got == seen:
-            break
-        seen = got
-    else:
-        raise RuntimeError("components did not settle")
-    ends = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(ends)
+        # tables that meet are written, so that both sides of a join are exchanged and a hub's rows can be dealt to several tasks
+        labels = written(_labels(now))
+        if labels.filter("lo <> hi").isEmpty():
+            return labels.select("id", F.col("lo").alias("component"))
+        # large star: a node's greater neighbours go to the least of its neighbours and itself
+        large = written(now.join(labels, now["v"] == labels["id"]).select("u", F.col("lo").alias("v")).distinct())
+        # small star: a node and its lesser neighbours go to the least of them
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(local(small.union(least.select("u", F.col("m").alias("v")))))
+    raise RuntimeError("components did not settle")

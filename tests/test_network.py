@@ -40,6 +40,28 @@ def test_components_of_a_path_and_a_hub(spark):
     assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(100, 140), 100)}
 
 
+def test_components_over_many_tasks(spark):
+    """No task holds enough of the edges to settle them by itself, so rounds are needed."""
+    r = random.Random(3)
+    path = r.sample(range(1000, 1200), 200)
+    edges = [*zip(path, path[1:], strict=False), *((r.randrange(150), r.randrange(150)) for _ in range(90)), *((2000, 2000 + r.randrange(99)) for _ in range(60))]
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    old = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("false", "13"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        got = [tuple(x) for x in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(13)).collect()]
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+    up = {i: i for e in edges for i in e if e[0] != e[1]}
+    for _ in up:
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    assert sorted(got) == sorted(up.items())
+
+
 def _brute_components(rows, precision):
     """fid -> least fid in reach, by union-find over end cells."""
     up, at = {r.fid: r.fid for r in rows}, {}
