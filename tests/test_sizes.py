@@ -40,3 +40,9 @@ def test_pieces_of_a_long_segment_name_a_cell_once(spark):
 
 def test_split_points_round_as_their_sql_does(spark, tmp_path):
     assert len(_customers(spark, tmp_path, "split_points", 168, 50018, 356, 23973)) == 4
+
+
+def test_an_end_on_a_line_but_for_rounding_is_a_near_miss_to_the_sql_alone(spark, tmp_path):
+    keys = (21, 59825, 143, 35185)
+    assert len(_customers(spark, tmp_path, "near_misses", *keys)) == 2
+    assert sp.near_misses(demo.crossing(spark, str(tmp_path)), 0.5, 40.0).count() == 0
