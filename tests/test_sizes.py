@@ -46,3 +46,19 @@ def test_an_end_on_a_line_but_for_rounding_is_a_near_miss_to_the_sql_alone(spark
     keys = (21, 59825, 143, 35185)
     assert len(_customers(spark, tmp_path, "near_misses", *keys)) == 2
     assert sp.near_misses(demo.crossing(spark, str(tmp_path)), 0.5, 40.0).count() == 0
+
+
+def test_lines_of_one_box_are_compared_as_one_and_lose_no_pair(spark, monkeypatch):
+    one, other, short = [(0, 0), (10, 0)], [(0, 0.4), (10, 0.4)], [(0, 0), (2, 0)]
+    d = _lines(spark, *[(one, other, short)[k % 3] for k in range(60)], [(-500, -3), (900, 3)])
+    boxes = []
+    met = sp.box_pairs
+    monkeypatch.setattr(sp, "box_pairs", lambda b, cell: (boxes.append(b.count()), met(b, cell))[1])
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if (a % 3 == 2) == (b % 3 == 2)}
+    for most, least in ((1024, 3), (7, 6)):
+        monkeypatch.setattr(sp, "_ALIKE", most)
+        for bearing in (None, 10.0):
+            got = [tuple(r) for r in sp.overlap_pairs(d, 0.5, 4.0, bearing=bearing).collect()]
+            assert len(got) == len(want) and set(got) == want
+            assert least < boxes[-1] <= 13
+    assert len(sp.overlap_pairs(d, 0.5, 4.0, ratio_min=0.0).collect()) == 61 * 60 // 2
