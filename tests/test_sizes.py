@@ -62,3 +62,15 @@ def test_lines_of_one_box_are_compared_as_one_and_lose_no_pair(spark, monkeypatc
             assert len(got) == len(want) and set(got) == want
             assert least < boxes[-1] <= 13
     assert len(sp.overlap_pairs(d, 0.5, 4.0, ratio_min=0.0).collect()) == 61 * 60 // 2
+
+
+def test_split_pieces_round_as_their_sql_does(spark, tmp_path):
+    assert len(_customers(spark, tmp_path, "split_pieces", 168, 50018, 356, 23973)) == 8
+
+
+def test_pieces_keep_vertices_between_cuts_and_lines_without_cuts(spark):
+    rows = [[(0, 0), (2, 0), (4, 0), (4, 0), (6, 0)], [(1, -1), (1, 1)], [(5, -1), (5, 1)], [(50, 50), (50, 50), (60, 50)], [(2, -1), (2, 1)]]
+    got = sp.split_at_intersections(_lines(spark, *rows), 3.0).orderBy("fid", "piece").collect()
+    pts = lambda fid: [(r.piece, [tuple(p) for p in r.pts]) for r in got if r.fid == fid]
+    assert pts(0) == [(0, [(0, 0), (1, 0)]), (1, [(1, 0), (2, 0)]), (2, [(2, 0), (4, 0), (5, 0)]), (3, [(5, 0), (6, 0)])]
+    assert pts(3) == [(0, [(50, 50), (50, 50), (60, 50)])] and len(got) == 11 and {r.highway for r in got if r.fid == 4} == {"h4"}
