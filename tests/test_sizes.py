@@ -64,6 +64,17 @@ def test_lines_of_one_box_are_compared_as_one_and_lose_no_pair(spark, monkeypatc
     assert len(sp.overlap_pairs(d, 0.5, 4.0, ratio_min=0.0).collect()) == 61 * 60 // 2
 
 
+def test_overlap_pairs_are_made_from_lists_without_a_look_at_each_pair(spark, monkeypatch):
+    rows = [(False, [1, 5, 9, 5], [5, 2, 7]), (False, [4, 8], [6]), (True, [3, 12, 10, 3, 11], [3, 12, 10, 3, 11]), (True, [20], [20]), (False, [30], [30])]
+    want = sorted((min(p, q), max(p, q)) for one, ps, qs in rows for i, p in enumerate(ps) for j, q in enumerate(qs) if p != q and (i < j or not one))
+    for most in (1, 6, 1 << 16):
+        monkeypatch.setattr(sp, "_ROW_PAIRS", most)
+        got = sp._each(spark.createDataFrame(rows, "one boolean, ps array<long>, qs array<long>"))
+        assert sorted(tuple(r) for r in got.collect()) == want
+    plan = sp.overlap_pairs(_lines(spark, [(0, 0), (9, 0)], [(1, 0), (9, 0)]), 0.5, 4.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[: plan.index("Generate explode")]
+
+
 def test_split_pieces_round_as_their_sql_does(spark, tmp_path):
     assert len(_customers(spark, tmp_path, "split_pieces", 168, 50018, 356, 23973)) == 8
 
