@@ -75,6 +75,12 @@ def test_overlap_pairs_are_made_from_lists_without_a_look_at_each_pair(spark, mo
     assert "Filter" not in plan[: plan.index("Generate explode")]
 
 
+def test_lines_without_a_fid_are_in_no_overlap_pair(spark):
+    line = lambda *p: [{"x": float(x), "y": 0.0} for x in p]
+    d = spark.createDataFrame([(None, "a", line(0, 7)), (None, "b", line(0, 7)), (1, "c", line(0, 9)), (2, "d", line(0, 9)), (3, "e", None), (4, "f", line(0))], SCHEMA)
+    assert [tuple(r) for r in sp.overlap_pairs(d, 0.5, 4.0).collect()] == [(1, 2)]
+
+
 def test_split_pieces_round_as_their_sql_does(spark, tmp_path):
     assert len(_customers(spark, tmp_path, "split_pieces", 168, 50018, 356, 23973)) == 8
 
